@@ -1 +1,6 @@
 """Composed jobs and the registry of checked queries."""
+
+from flowsentry.plans import stream_queries  # noqa: F401  (registers its queries)
+from flowsentry.plans.registry import QUERIES
+
+__all__ = ["QUERIES"]

@@ -431,3 +431,25 @@ SELECT label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6)
   CAST(support AS BIGINT) AS support FROM f""",
     "model_report": _metrics_sql(_MODEL_CELLS, "model"),
 }
+
+_SIX_HOURS = 6 * 3600
+
+ORACLES |= {
+    "stream_capture": ORACLES["capture_filter"],
+    "stream_connections": ORACLES["connection_stats"],
+    "stream_buckets": _with(PREDICTIONS) + f"""SELECT date_trunc('hour', ts) AS window_start,
+  count(*) FILTER ({_LEVEL} = 'safe') AS normal, count(*) FILTER ({_LEVEL} = 'suspicious') AS suspicious,
+  count(*) FILTER ({_LEVEL} = 'danger') AS threats FROM predictions GROUP BY 1""",
+    "stream_active": _with(TRAFFIC) + f""", w AS (SELECT *, make_timestamp((epoch_us(ts) // {_SIX_HOURS}000000 - r.range)
+  * {_SIX_HOURS}000000) AS window_start FROM traffic, range(4) r)
+SELECT window_start, {_KEY5}, count(*) AS packet_count, CAST(sum(bytes) AS BIGINT) AS bytes, max(ts) AS last_seen
+FROM w GROUP BY window_start, {_KEY5}""",
+    "stream_sessions": _session_sql(_SIX_HOURS * 1_000_000).rsplit("SELECT src_ip, min(ts)", 1)[0] + f"""
+SELECT src_ip, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS packets,
+  CAST(sum(packet_size) AS BIGINT) AS bytes FROM n GROUP BY src_ip, session
+HAVING max(ts) + INTERVAL 6 HOUR <= {_NEWEST} - INTERVAL 10 MINUTE""",
+    "stream_notify": _with(ALERTS) + "SELECT * FROM alerts WHERE severity = 'danger'",
+    "stream_alerts": ORACLES["alerts_from_stream"],
+    "stream_blocklist": _with(PREDICTIONS) + """SELECT DISTINCT source_ip AS ip FROM predictions
+  WHERE upper(prediction) NOT IN ('NORMAL', 'SAFE')""",
+}

@@ -144,7 +144,7 @@ def alerts_from_predictions(t: Tables) -> DataFrame:
     return AL.alerts_from_predictions(scored, keep=KEY)
 
 
-def _stream_scored(predictions: DataFrame) -> DataFrame:
+def stream_scored(predictions: DataFrame) -> DataFrame:
     """Unsure Normal predictions count as suspicious."""
     unsure = (F.col("prediction") == "Normal") & (F.col("confidence") < 0.5)
     return predictions.withColumn(
@@ -153,7 +153,7 @@ def _stream_scored(predictions: DataFrame) -> DataFrame:
 
 @register
 def alerts_from_stream(t: Tables) -> DataFrame:
-    return AL.alerts_from_stream(_stream_scored(t.predictions), keep=["id", "ts"])
+    return AL.alerts_from_stream(stream_scored(t.predictions), keep=["id", "ts"])
 
 
 @register
