@@ -16,10 +16,8 @@ def truthy(value: Column | str, empty) -> Column:
 def ip_to_int(ip: Column | str) -> Column:
     """Dotted address as one number; anything but four whole numbers gives 0. Octets are not range-checked."""
     parts = F.split(ip if isinstance(ip, Column) else F.col(ip), r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
-    number = octets[3]
-    for octet, bits in zip(octets[:3], (24, 16, 8)):
-        number = number.bitwiseOR(F.shiftleft(octet, bits))
+    number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda high, octet:
+                         F.shiftleft(high, 8).bitwiseOR(octet.try_cast("bigint")))
     return F.coalesce(F.when(F.size(parts) == 4, number), F.lit(0).cast("bigint"))
 
 
@@ -37,10 +35,12 @@ def on_capture_ports(ports: tuple[int, int] = CAPTURE_PORTS, src: str = "src_por
 
 def connection_label(with_protocol: bool = False) -> Column:
     """Printable `src:port-dst:port[-protocol]`. Group on the columns, not on this string."""
-    pattern, names = "%s:%s-%s:%s", ["src_ip", "src_port", "dst_ip", "dst_port"]
-    if with_protocol:
-        pattern, names = pattern + "-%s", names + ["protocol"]
-    return F.format_string(pattern, *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+    dash, colon = F.lit("-"), F.lit(":")
+    parts = [text("src_ip"), colon, text("src_port"), dash, text("dst_ip"), colon, text("dst_port")]
+    return F.concat(*parts, *([dash, text("protocol")] if with_protocol else []))
 
 
 def byte_count(bytes_: str = "bytes", sent: str = "BytesSent", received: str = "BytesReceived",

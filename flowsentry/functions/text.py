@@ -34,14 +34,30 @@ def count_entropy(count: Column, total: Column) -> Column:
     return F.log2(total) - F.sum(count * F.log2(count)) / total
 
 
-def json_field(details: Column | str, *paths: str) -> Column:
-    """First value among several spellings of a nested field that is neither empty nor 0."""
-    found = [F.get_json_object(details, f"$.{p}") for p in paths]
-    return F.coalesce(*[F.when(~value.isin("", "0"), value) for value in found])
+# Fields looked up in an alert's details, at the top or under `traffic`, in both spellings.
+_FIELDS = ["SrcIP", "src_ip", "DstIP", "dst_ip", "SrcPort", "DstPort", "Protocol"]
+_TEXTS = [T.StructField(name, T.StringType()) for name in _FIELDS]
+DETAILS = T.StructType([*_TEXTS, T.StructField("traffic", T.StructType(_TEXTS))])
 
 
-def alert_source(source_ip: Column | str, details: Column | str) -> Column:
-    """Source address of an alert, looked up in its details when the column is empty."""
+def parse_details(details: Column | str) -> Column:
+    """The nested details of an alert as a struct, from one pass over the text."""
+    return F.from_json(details, DETAILS)
+
+
+def detail(parsed: Column, *paths: str) -> Column:
+    """First value among several spellings of a field that is neither empty nor 0."""
+    def filled(path: str) -> Column:
+        value = parsed
+        for name in path.split("."):
+            value = value.getField(name)
+        return F.when(~value.isin("", "0"), value)
+
+    return F.coalesce(*[filled(p) for p in paths])
+
+
+def alert_source(source_ip: Column | str, parsed: Column) -> Column:
+    """Source address of an alert, looked up in its parsed details when the column is empty."""
     given = source_ip if isinstance(source_ip, Column) else F.col(source_ip)
-    nested = json_field(details, "SrcIP", "src_ip", "traffic.SrcIP", "traffic.src_ip")
+    nested = detail(parsed, "SrcIP", "src_ip", "traffic.SrcIP", "traffic.src_ip")
     return F.coalesce(F.nullif(given, F.lit("")), nested, F.lit(""))

@@ -4,56 +4,57 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, PCAModel
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scores import anomaly_columns
-from flowsentry.ml.features import assembler
-from flowsentry.operators.profile import (STD_FLOOR, Moments, anomaly_threshold, fit_moments,
-                                          standardise)
+from flowsentry.operators.profile import STD_FLOOR, anomaly_threshold
 
-_INPUT, _CODE = "_z", "_code"
+_SHIFTED, _INPUT, _CODE = "_shifted", "_z", "_code"
 
 
 @dataclass
 class AnomalyDetector:
-    """Moments, components and threshold learnt from normal rows."""
+    """Standardising and coding stages, and the threshold learnt from normal rows."""
 
-    moments: Moments
-    pca: PCAModel
+    stages: PipelineModel
+    vector: str
+    size: int
     mean_error: float = 0.0
     std_error: float = 0.0
     threshold: float = 0.0
 
-    @property
-    def features(self) -> list[str]:
-        return list(self.moments.mean)
 
+def fit_anomaly_detector(normal: DataFrame, vector: str = "features", size: int = 16) -> AnomalyDetector:
+    """Fit on normal rows only, given as a vector column.
 
-def fit_anomaly_detector(normal: DataFrame, features: list[str], size: int = 16) -> AnomalyDetector:
-    """Fit on normal rows only. Constant features tell nothing and are left out.
-
-    The covariance matrix and the components are features × features, whatever the number of rows.
+    Moments and covariance are combined partition by partition; what reaches the driver is features ×
+    features, whatever the number of rows. Constant features standardise to 0 and add no error.
     """
-    moments = fit_moments(normal, features)
-    varying = [c for c in features if moments.std[c] > 2 * STD_FLOOR]
-    moments = Moments({c: moments.mean[c] for c in varying}, {c: moments.std[c] for c in varying})
-    vectors = assembler(varying, _INPUT).transform(standardise(normal, moments, []))
-    pca = PCA(k=min(size, len(varying)), inputCol=_INPUT, outputCol=_CODE).fit(vectors)
-    detector = AnomalyDetector(moments, pca)
-    learnt = anomaly_threshold(anomaly_scores(detector, normal, []), "anomaly_score").first()
+    rows = normal.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
+    scaler = StandardScaler(inputCol=vector, outputCol=_SHIFTED, withMean=True, withStd=True).fit(rows)
+    count = rows.count()
+    sample = scaler.std.toArray()
+    population = sample * np.sqrt((count - 1) / count) + STD_FLOOR
+    rescale = ElementwiseProduct(inputCol=_SHIFTED, outputCol=_INPUT,
+                                 scalingVec=Vectors.dense(sample / population))
+    ready = rescale.transform(scaler.transform(rows))
+    width = len(sample)
+    pca = PCA(k=min(size, width), inputCol=_INPUT, outputCol=_CODE).fit(ready)
+    detector = AnomalyDetector(PipelineModel([scaler, rescale, pca]), vector, width)
+    learnt = anomaly_threshold(anomaly_scores(detector, rows, []), "anomaly_score").first()
+    rows.unpersist()
     detector.mean_error, detector.std_error = learnt["mean_error"], learnt["std_error"]
     detector.threshold = learnt["threshold"]
     return detector
 
 
-def _coded(detector: AnomalyDetector, df: DataFrame, keep: list[str]) -> DataFrame:
-    scaled = standardise(df, detector.moments, keep)
-    return detector.pca.transform(assembler(detector.features, _INPUT).transform(scaled))
-
-
 def _squares(vector: str) -> Column:
     return F.aggregate(vector_to_array(vector), F.lit(0.0), lambda total, x: total + x * x)
 
@@ -64,8 +65,8 @@ def anomaly_scores(detector: AnomalyDetector, df: DataFrame, keep: list[str]) ->
     The components are orthonormal, so the squared error is what the code misses of the squared length.
     """
     missed = F.greatest(_squares(_INPUT) - _squares(_CODE), F.lit(0.0))
-    error = (missed / len(detector.features)).alias("anomaly_score")
-    return _coded(detector, df, keep).select(*keep, error)
+    coded = detector.stages.transform(df.select(*keep, detector.vector))
+    return coded.select(*keep, (missed / detector.size).alias("anomaly_score"))
 
 
 def anomaly_verdicts(detector: AnomalyDetector, df: DataFrame, keep: list[str],
@@ -77,4 +78,5 @@ def anomaly_verdicts(detector: AnomalyDetector, df: DataFrame, keep: list[str],
 
 def encoded_features(detector: AnomalyDetector, df: DataFrame, keep: list[str]) -> DataFrame:
     """The compressed form of every row."""
-    return _coded(detector, df, keep).select(*keep, vector_to_array(_CODE).alias("code"))
+    coded = detector.stages.transform(df.select(*keep, detector.vector))
+    return coded.select(*keep, vector_to_array(_CODE).alias("code"))

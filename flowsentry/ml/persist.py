@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCAModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.ml.anomaly import AnomalyDetector
-from flowsentry.operators.profile import Moments
 from flowsentry.schemas import DETECTORS
 
 
@@ -48,13 +45,12 @@ def load_detectors(spark: SparkSession, folder: str) -> dict[str, PipelineModel]
 
 
 def save_anomaly_detector(detector: AnomalyDetector, spark: SparkSession, folder: str) -> None:
-    detector.pca.write().overwrite().save(f"{folder}/anomaly/model")
-    learnt = {"moments": asdict(detector.moments), "mean_error": detector.mean_error,
+    detector.stages.write().overwrite().save(f"{folder}/anomaly/model")
+    learnt = {"vector": detector.vector, "size": detector.size, "mean_error": detector.mean_error,
               "std_error": detector.std_error, "threshold": detector.threshold}
     _write_json(spark, learnt, f"{folder}/anomaly/metadata")
 
 
 def load_anomaly_detector(spark: SparkSession, folder: str) -> AnomalyDetector:
-    learnt = _read_json(spark, f"{folder}/anomaly/metadata")
-    return AnomalyDetector(Moments(**learnt["moments"]), PCAModel.load(f"{folder}/anomaly/model"),
-                           learnt["mean_error"], learnt["std_error"], learnt["threshold"])
+    stages = PipelineModel.load(f"{folder}/anomaly/model")
+    return AnomalyDetector(stages, **_read_json(spark, f"{folder}/anomaly/metadata"))

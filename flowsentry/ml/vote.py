@@ -17,6 +17,24 @@ def _same(a: str, b: Column | str) -> Column:
     return F.coalesce((F.col(a) == other).cast("int"), F.lit(0))
 
 
+def _ballots(detectors: list[str]) -> Column:
+    """One (votes, place, label) entry per detector that voted; the largest is the winner's, and of
+    equal ones the earliest detector's. Bound as a lambda variable, the label array is built once."""
+    labels = F.array(*[F.col(d) for d in detectors])
+
+    def entries(cast: Column) -> Column:
+        return F.transform(cast, lambda label, place: F.struct(
+            F.size(F.filter(cast, lambda other: other == label)).alias("votes"),
+            (-place).alias("place"), label.alias("label")))
+
+    counted = F.element_at(F.transform(F.array(labels), entries), 1)
+    return F.filter(counted, lambda b: b["label"].isNotNull())
+
+
+def _two_places(value: str) -> Column:
+    return F.col(value).cast("decimal(10,2)").cast("string")
+
+
 def ensemble_vote(scored: DataFrame, detectors: list[str] = DETECTORS,
                   keep: list[str] | None = None) -> DataFrame:
     """Winning label, level, mean confidence of its voters, vote counts and a readable detail.
@@ -24,24 +42,19 @@ def ensemble_vote(scored: DataFrame, detectors: list[str] = DETECTORS,
     Expects a column per detector with its label and one named `<detector>_confidence`. A null label is
     no vote. Ties go to the detector that comes first; no votes at all give Unknown.
     """
-    # The largest (votes, earliest place) entry names the winner; a label that is null has no votes.
-    ballots = F.array(*[
-        F.struct(reduce(add, [_same(d, other) for other in detectors]).alias("votes"),
-                 F.lit(-place).alias("place"), F.col(d).alias("label"))
-        for place, d in enumerate(detectors)])
-    decided = (scored.withColumn("_ballots", ballots).withColumn("_best", F.array_max("_ballots"))
+    decided = (scored.withColumn("_ballots", _ballots(detectors))
+               .withColumn("_best", F.array_max("_ballots"))
                .withColumns({"_winner": F.col("_best.label"), "_top": F.col("_best.votes")}))
 
     cast_votes = reduce(add, [F.col(d).isNotNull().cast("int") for d in detectors])
     confidence = reduce(add, [F.when(_same(d, F.col("_winner")) == 1, F.col(f"{d}_confidence"))
                               .otherwise(0.0) for d in detectors])
-    cast = F.filter("_ballots", lambda b: b["label"].isNotNull())
-    entries = F.array_distinct(F.transform(cast, lambda b: F.struct(b["label"], b["votes"])))
-    parts = [F.when(F.col(d).isNotNull(),
-                    F.format_string(f"{d}: %s (%.2f)", F.col(d), F.col(f"{d}_confidence")))
+    entries = F.array_distinct(F.transform("_ballots", lambda b: F.struct(b["label"], b["votes"])))
+    parts = [F.concat(F.lit(f"{d}: "), F.col(d), F.lit(" ("), _two_places(f"{d}_confidence"), F.lit(")"))
              for d in detectors]
-    some = F.col("_top") > 0
-    heading = F.format_string("Majority Vote: %s (%d/%d). ", F.col("_winner"), F.col("_top"), cast_votes)
+    some = F.col("_winner").isNotNull()
+    heading = F.concat(F.lit("Majority Vote: "), "_winner", F.lit(" ("), F.col("_top").cast("string"),
+                       F.lit("/"), cast_votes.cast("string"), F.lit("). "))
     detail = F.concat(heading, F.concat_ws(", ", *parts))
     used = F.create_map(*[x for d in detectors for x in (F.lit(d), F.col(d).isNotNull())])
     return decided.select(

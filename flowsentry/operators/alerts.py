@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.clock import AsOf, as_of_column
 from flowsentry.functions.labels import title_case
-from flowsentry.functions.text import alert_source, json_field
+from flowsentry.functions.text import alert_source, detail, parse_details
 from flowsentry.operators.ordering import rank_rows
 from flowsentry.schemas import SAFE_LABELS
 
@@ -15,7 +15,7 @@ from flowsentry.schemas import SAFE_LABELS
 def alerts_from_predictions(scored: DataFrame, keep: list[str], label: str = "prediction",
                             details: str = "details") -> DataFrame:
     """One danger alert per row the ensemble calls DANGER."""
-    message = F.format_string("Attack detected! %s - %s", F.col(label), F.col(details))
+    message = F.concat(F.lit("Attack detected! "), F.col(label), F.lit(" - "), F.col(details))
     return scored.filter(F.col("threat_level") == "DANGER").select(
         *keep, F.col(label).alias("type"), F.lit("danger").alias("severity"),
         message.alias("message"), F.coalesce("source_ip", F.lit("")).alias("source_ip"))
@@ -47,8 +47,7 @@ def append_alerts(alerts: DataFrame, new: DataFrame) -> DataFrame:
     present = set(new.columns)
     filled = new.withColumns({name: F.coalesce(name, F.lit(value)) if name in present else F.lit(value)
                               for name, value in defaults.items()})
-    filled = filled.withColumn("source_ip", alert_source("source_ip", "details"))
-    return alerts.unionByName(filled, allowMissingColumns=True)
+    return alerts.unionByName(with_source(filled), allowMissingColumns=True)
 
 
 def append_rows(table: DataFrame, new: DataFrame, defaults: dict[str, object] | None = None,
@@ -77,22 +76,26 @@ def number_alerts(alerts: DataFrame, ts: str = "ts", tie: str = "id", name: str
 
 
 def with_source(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("source_ip", alert_source("source_ip", "details"))
+    """Fill empty source addresses from the details."""
+    parsed = alerts.withColumn("_details", parse_details("details"))
+    return parsed.withColumn("source_ip", alert_source("source_ip", F.col("_details"))).drop("_details")
 
 
 def alert_details(alerts: DataFrame) -> DataFrame:
     """Addresses, ports and protocol read from the nested details, with the page's defaults."""
-    source = alert_source("source_ip", "details")
-    dash = F.lit("—")
-    fields = {
-        "dst_ip": F.coalesce(json_field("details", "traffic.DstIP", "traffic.dst_ip", "DstIP", "dst_ip"),
-                             dash),
-        "src_port": F.coalesce(json_field("details", "traffic.SrcPort", "SrcPort"), dash),
-        "dst_port": F.coalesce(json_field("details", "traffic.DstPort", "DstPort"), F.lit("5900")),
-        "protocol": F.coalesce(json_field("details", "traffic.Protocol", "Protocol"), dash),
+    parsed = F.col("_details")
+    source = F.nullif(alert_source("source_ip", parsed), F.lit(""))
+    # Where each shown field is looked up, and what is shown when it is missing.
+    shown = {
+        "dst_ip": (["traffic.DstIP", "traffic.dst_ip", "DstIP", "dst_ip"], "—"),
+        "src_port": (["traffic.SrcPort", "SrcPort"], "—"),
+        "dst_port": (["traffic.DstPort", "DstPort"], "5900"),
+        "protocol": (["traffic.Protocol", "Protocol"], "—"),
     }
-    return alerts.select("id", "ts", "type", F.coalesce(F.nullif(source, F.lit("")), F.lit("Unknown"))
-                         .alias("src_ip"), *[value.alias(name) for name, value in fields.items()])
+    return alerts.withColumn("_details", parse_details("details")).select(
+        "id", "ts", "type", F.coalesce(source, F.lit("Unknown")).alias("src_ip"),
+        *[F.coalesce(detail(parsed, *paths), F.lit(default)).alias(name)
+          for name, (paths, default) in shown.items()])
 
 
 def device_active(alerts: DataFrame, as_of: AsOf = None, window: str = "5 MINUTES") -> DataFrame:

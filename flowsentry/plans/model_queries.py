@@ -5,6 +5,7 @@ They train on every training row of the table with reduced effort (`QUICK`) and
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ from flowsentry.plans.registry import KEY, Tables, register
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
 
 SMALL_FOREST = Settings(trees=5, depth=5)
-EMBEDDING_SIZE = 64
 
 
 def _predictions(t: Tables, detector: str) -> DataFrame:
@@ -79,15 +79,10 @@ def cv_f1(t: Tables) -> DataFrame:
     return MT.cross_validated_f1(spread(folded), 5, SMALL_FOREST)
 
 
-def _embedding_columns(t: Tables) -> tuple[DataFrame, list[str]]:
-    names = [f"x{i}" for i in range(EMBEDDING_SIZE)]
-    columns = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(names)]
-    return t.read("embeddings").select("vec_id", "label", *columns), names
-
-
 def _embedding_detector(t: Tables) -> tuple[DataFrame, MA.AnomalyDetector]:
-    rows, names = _embedding_columns(t)
-    return rows, MA.fit_anomaly_detector(rows.filter(F.col("label") == 0), names)
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    rows = t.read("embeddings").select("vec_id", "label", vector.alias("features"))
+    return rows, MA.fit_anomaly_detector(rows.filter(F.col("label") == 0))
 
 
 @register

@@ -159,10 +159,10 @@ c AS (SELECT {lead_c}coalesce(t.label, p.label) AS label, coalesce(support, 0) A
 r AS (SELECT *, CASE WHEN predicted > 0 THEN hits::DOUBLE / predicted::DOUBLE ELSE 0 END AS prec,
   CASE WHEN support > 0 THEN hits::DOUBLE / support::DOUBLE ELSE 0 END AS rec FROM c),
 f AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END AS f1 FROM r)
-""" + (f"""SELECT {lead}round(sum(hits)::DOUBLE / sum(support)::DOUBLE, 6) AS accuracy,
-  round(sum(prec * support) / sum(support)::DOUBLE, 6) AS precision,
-  round(sum(rec * support) / sum(support)::DOUBLE, 6) AS recall,
-  round(sum(f1 * support) / sum(support)::DOUBLE, 6) AS f1_score FROM f{group}""")
+""" + (f"""SELECT {lead}(floor((sum(hits)::DOUBLE / sum(support)::DOUBLE) * 1e6 + 0.5) / 1e6) AS accuracy,
+  (floor((sum(prec * support) / sum(support)::DOUBLE) * 1e6 + 0.5) / 1e6) AS precision,
+  (floor((sum(rec * support) / sum(support)::DOUBLE) * 1e6 + 0.5) / 1e6) AS recall,
+  (floor((sum(f1 * support) / sum(support)::DOUBLE) * 1e6 + 0.5) / 1e6) AS f1_score FROM f{group}""")
 
 
 def _session_sql(gap_micros: int) -> str:
@@ -240,8 +240,8 @@ ORACLES: dict[str, str] = {
     "device_active": _with(ALERTS) + f"""SELECT id, {_NEWEST} - ts < INTERVAL 60 MINUTE AS is_active FROM alerts""",
     "flow_to_session": _with(FLOWS) + f"""SELECT {_KEY}, NumPackets AS packet_count,
   BytesSent + BytesReceived AS total_bytes, PacketSize AS avg_packet_size,
-  round(PacketSize * 0.2::DOUBLE, 6) AS std_packet_size, round(PacketSize * 0.5::DOUBLE, 6) AS min_packet_size,
-  round(PacketSize * 1.5::DOUBLE, 6) AS max_packet_size, FlowRate AS bytes_per_second,
+  (floor((PacketSize * 0.2::DOUBLE) * 1e6 + 0.5) / 1e6) AS std_packet_size, (floor((PacketSize * 0.5::DOUBLE) * 1e6 + 0.5) / 1e6) AS min_packet_size,
+  (floor((PacketSize * 1.5::DOUBLE) * 1e6 + 0.5) / 1e6) AS max_packet_size, FlowRate AS bytes_per_second,
   PacketRate AS packets_per_second, FlowDuration AS connection_duration, CAST(1 AS INTEGER) AS unique_ports,
   CASE WHEN Protocol = 'TCP' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS protocol_ratio_tcp, Entropy AS entropy_bytes,
   Entropy AS entropy_packets, CAST(10 AS INTEGER) AS vnc_commands, CAST(10 AS INTEGER) AS vnc_responses,
@@ -338,7 +338,7 @@ SELECT hour, attacks, CAST(CASE WHEN ratio <= 0 THEN 0 WHEN ratio <= 0.33 THEN 1
     "report_protocols": _with(PACKETS) + """, c AS (SELECT protocol, epoch_us(max(ts)) - epoch_us(min(ts)) AS span
   FROM packets GROUP BY src_ip, src_port, dst_ip, dst_port, protocol)
 SELECT protocol, count(*) AS connections,
-  round(CAST(sum(span) AS DOUBLE) / count(*) / 1e6, 6) AS avg_duration_seconds FROM c GROUP BY protocol""",
+  (floor((CAST(sum(span) AS DOUBLE) / count(*) / 1e6) * 1e6 + 0.5) / 1e6) AS avg_duration_seconds FROM c GROUP BY protocol""",
     "class_balance": _with(FLOWS) + """SELECT AttackLabel AS label, count(*) AS rows,
   count(*)::DOUBLE / (SELECT count(*) FROM flows)::DOUBLE AS ratio FROM flows GROUP BY AttackLabel""",
     "dataset_profile": _with(_SPLIT) + """SELECT CAST(19 AS INTEGER) AS n_features,
@@ -348,20 +348,20 @@ SELECT protocol, count(*) AS connections,
   count(*) FILTER (split = 'test' AND AttackLabel <> 'Normal')::DOUBLE / count(*) FILTER (split = 'test')
     AS test_attack_ratio FROM split""",
     "feature_moments": _with(FLOWS) + " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}) + 1e-8, 4) AS std FROM flows"""
+        f"""SELECT '{c}' AS feature, (floor((avg({c})) * 1e4 + 0.5) / 1e4) AS mean, (floor((stddev_pop({c}) + 1e-8) * 1e4 + 0.5) / 1e4) AS std FROM flows"""
         for c in NUMERIC),
     "payload_entropy": """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte
   FROM documents), c AS (SELECT doc_id, byte, count(*) AS n FROM b GROUP BY doc_id, byte),
 e AS (SELECT doc_id, -sum(n / total * log2(n / total)) AS entropy FROM (SELECT *,
   CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS total FROM c) GROUP BY doc_id)
-SELECT d.doc_id, round(coalesce(entropy, 0), 6) + 0.0 AS entropy FROM documents d LEFT JOIN e USING (doc_id)""",
+SELECT d.doc_id, (floor((coalesce(entropy, 0)) * 1e6 + 0.5) / 1e6) + 0.0 AS entropy FROM documents d LEFT JOIN e USING (doc_id)""",
     "port_entropy": _with(PACKETS) + """, c AS (SELECT src_ip, dst_port, count(*) AS n FROM packets GROUP BY 1, 2),
 s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src_ip) AS DOUBLE) AS total FROM c)
 SELECT src_ip, CAST(sum(n) AS BIGINT) AS packets, count(*) AS ports,
-  round(-sum(n / total * log2(n / total)), 6) + 0.0 AS entropy FROM s GROUP BY src_ip""",
-    "anomaly_threshold": _with(FLOWS) + """SELECT round(avg(AnomalyScore), 6) AS mean_error,
-  round(stddev_pop(AnomalyScore), 6) AS std_error,
-  round(avg(AnomalyScore) + 2 * stddev_pop(AnomalyScore), 6) AS threshold FROM flows WHERE AttackLabel = 'Normal'""",
+  (floor((-sum(n / total * log2(n / total))) * 1e6 + 0.5) / 1e6) + 0.0 AS entropy FROM s GROUP BY src_ip""",
+    "anomaly_threshold": _with(FLOWS) + """SELECT (floor((avg(AnomalyScore)) * 1e6 + 0.5) / 1e6) AS mean_error,
+  (floor((stddev_pop(AnomalyScore)) * 1e6 + 0.5) / 1e6) AS std_error,
+  (floor((avg(AnomalyScore) + 2 * stddev_pop(AnomalyScore)) * 1e6 + 0.5) / 1e6) AS threshold FROM flows WHERE AttackLabel = 'Normal'""",
     "session_features": _with(PACKETS) + f""", s AS (SELECT src_ip, dst_ip, packet_size, count(*) AS n FROM packets
   GROUP BY 1, 2, 3), w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src_ip, dst_ip) AS DOUBLE) AS total FROM s),
 e AS (SELECT src_ip, dst_ip, -sum(n / total * log2(n / total)) AS entropy FROM w GROUP BY 1, 2),
@@ -370,10 +370,10 @@ g AS (SELECT src_ip, dst_ip, count(*) AS n, CAST(sum(packet_size) AS BIGINT) AS
   {_SECONDS.format('max(ts)', 'min(ts)')} AS span, count(DISTINCT dst_port) AS ports,
   count(*) FILTER (protocol = 'TCP') AS tcp, count(*) FILTER (protocol = 'UDP') AS udp FROM packets GROUP BY 1, 2)
 SELECT src_ip, dst_ip, n AS packet_count, total AS total_bytes, mean AS avg_packet_size,
-  round(std, 6) AS std_packet_size, low AS min_packet_size, high AS max_packet_size,
+  (floor((std) * 1e6 + 0.5) / 1e6) AS std_packet_size, low AS min_packet_size, high AS max_packet_size,
   total / CASE WHEN span = 0 THEN 0.001 ELSE span END AS bytes_per_second,
   n / CASE WHEN span = 0 THEN 0.001 ELSE span END AS packets_per_second, span AS connection_duration,
-  ports AS unique_ports, tcp::DOUBLE / n AS protocol_ratio_tcp, round(entropy, 6) + 0.0 AS entropy_packets,
+  ports AS unique_ports, tcp::DOUBLE / n AS protocol_ratio_tcp, (floor((entropy) * 1e6 + 0.5) / 1e6) + 0.0 AS entropy_packets,
   udp::DOUBLE / n AS protocol_ratio_udp, span AS session_length FROM g JOIN e USING (src_ip, dst_ip)""",
     "session_event_counts": _with(PACKETS) + "SELECT src_ip, dst_ip, " + ", ".join(
         f"count(*) FILTER (event_type = '{k}') AS {k}_count"
@@ -412,10 +412,10 @@ SELECT src_ip, dst_ip, n AS packet_count, total AS total_bytes, mean AS avg_pack
     "alert_source_ip": _with(ALERTS) + """SELECT id, coalesce(nullif(source_ip, ''), details->>'$.traffic.SrcIP', '')
   AS source_ip FROM alerts""",
     "zscore_features": _with(FLOWS) + f", m AS (SELECT {_MOMENTS} FROM flows) SELECT {_KEY}, " + ", ".join(
-        f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in NUMERIC) + " FROM flows, m",
+        f"(floor((({c} - m_{c}) / s_{c}) * 1e6 + 0.5) / 1e6) AS {c}" for c in NUMERIC) + " FROM flows, m",
     "anomaly_verdict": _with(FLOWS) + f""", m AS (SELECT avg(FlowRate) + 2 * stddev_pop(FlowRate) AS t FROM flows
-  WHERE AttackLabel = 'Normal') SELECT {_KEY}, FlowRate > t AS is_anomaly, round(FlowRate, 4) AS anomaly_score,
-  round(t, 4) AS threshold, round(least(1.0::DOUBLE, abs(FlowRate - t) / t), 4) AS confidence,
+  WHERE AttackLabel = 'Normal') SELECT {_KEY}, FlowRate > t AS is_anomaly, (floor((FlowRate) * 1e4 + 0.5) / 1e4) AS anomaly_score,
+  (floor((t) * 1e4 + 0.5) / 1e4) AS threshold, (floor((least(1.0::DOUBLE, abs(FlowRate - t) / t)) * 1e4 + 0.5) / 1e4) AS confidence,
   CASE WHEN FlowRate > t THEN 'ANOMALY' ELSE 'NORMAL' END AS status FROM flows, m""",
     "ensemble_vote": _with(VOTES) + f"""SELECT {_KEY}, winner AS prediction, threat_level, confidence,
   {_DETAIL} AS details, '{{"' || v1 || '":' || n1 || CASE WHEN v2 <> v1 THEN ',"' || v2 || '":' || n2 ELSE '' END
@@ -427,7 +427,7 @@ SELECT src_ip, dst_ip, n AS packet_count, total AS total_bytes, mean AS avg_pack
         f"AS DOUBLE) AS {c}" for c in FLOW_FEATURES) + " FROM flows",
     "weighted_metrics": _metrics_sql(_CELLS),
     "class_report": _metrics_sql(_CELLS).rsplit("\nSELECT", 1)[0] + """
-SELECT label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1_score,
+SELECT label, (floor((prec) * 1e6 + 0.5) / 1e6) AS precision, (floor((rec) * 1e6 + 0.5) / 1e6) AS recall, (floor((f1) * 1e6 + 0.5) / 1e6) AS f1_score,
   CAST(support AS BIGINT) AS support FROM f""",
     "model_report": _metrics_sql(_MODEL_CELLS, "model"),
 }

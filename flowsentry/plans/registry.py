@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions import labels as L
 from flowsentry.functions import network as N
-from flowsentry.functions.text import alert_source, byte_entropy
+from flowsentry.functions.text import byte_entropy
 from flowsentry.ml import features as MF
 from flowsentry.ml import metrics as MM
 from flowsentry.ml.vote import ensemble_vote
@@ -70,7 +70,9 @@ class Tables:
 
 
 def rounded(df: DataFrame, *columns: str, places: int = PLACES) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    """Nearest multiple of 10^-places, for values whose last digits depend on the order of addition."""
+    scale = 10.0 ** places
+    return df.withColumns({c: F.floor(F.col(c) * scale + 0.5) / scale for c in columns})
 
 
 # --- scans and exports ---
@@ -332,7 +334,7 @@ def feature_moments(t: Tables) -> DataFrame:
 @register
 def payload_entropy(t: Tables) -> DataFrame:
     docs = t.read("documents")
-    return docs.select("doc_id", F.round(byte_entropy("text"), PLACES).alias("entropy"))
+    return rounded(docs.select("doc_id", byte_entropy("text").alias("entropy")), "entropy")
 
 
 @register
@@ -438,7 +440,8 @@ def alerts_append(t: Tables) -> DataFrame:
     new = t.events.join(address, F.col("event_id") == F.col("packet_id")).select(
         (-1 - F.col("event_id")).alias("id"), "ts",
         F.when(kind == "error", "danger").when(kind == "view", "warning").alias("severity"),
-        F.when(kind == "error", F.format_string('{"traffic":{"src_ip":"%s"}}', "src_ip")).alias("details"))
+        F.when(kind == "error", F.concat(F.lit('{"traffic":{"src_ip":"'), "src_ip", F.lit('"}}')))
+         .alias("details"))
     return AL.append_alerts(t.alerts, new)
 
 
@@ -464,7 +467,7 @@ def threat_level(t: Tables) -> DataFrame:
 
 @register
 def alert_source_ip(t: Tables) -> DataFrame:
-    return t.alerts.select("id", alert_source("source_ip", "details").alias("source_ip"))
+    return AL.with_source(t.alerts).select("id", "source_ip")
 
 
 @register

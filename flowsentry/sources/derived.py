@@ -12,8 +12,14 @@ from flowsentry.functions.clock import iso_text
 from flowsentry.functions.labels import ensemble_level
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def _with_k(events: DataFrame) -> DataFrame:
+    """Parse the event's properties once; every other column is derived from the number."""
+    return events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+
+
+def _dotted(*parts) -> Column:
+    """Parts of an address joined by dots."""
+    return F.concat_ws(".", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
 def _pick(pairs: list[tuple[Column, str]], default=None) -> Column:
@@ -25,7 +31,7 @@ def _pick(pairs: list[tuple[Column, str]], default=None) -> Column:
 
 
 def _user_ip() -> Column:
-    return F.format_string("10.0.%d.%d", F.expr("user_id div 256"), F.col("user_id") % 256)
+    return _dotted("10.0", F.expr("user_id div 256"), F.col("user_id") % 256)
 
 
 def _size() -> Column:
@@ -34,12 +40,12 @@ def _size() -> Column:
 
 def packets(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return events.select(
+    return _with_k(events).select(
         F.col("event_id").alias("packet_id"), "ts",
         _user_ip().alias("src_ip"),
-        F.format_string("192.168.1.%d", 1 + _k() % 4).alias("dst_ip"),
+        _dotted("192.168.1", 1 + F.col("_k") % 4).alias("dst_ip"),
         (49152 + F.col("user_id") % 16384).cast("int").alias("src_port"),
-        (5895 + _k() % 20).alias("dst_port"),
+        (5895 + F.col("_k") % 20).alias("dst_port"),
         _pick([(kind == "error", "ICMP"), (kind == "view", "UDP")], "TCP").alias("protocol"),
         (64 + _size()).alias("packet_size"),
         (24 + _size()).alias("payload_size"),
@@ -52,15 +58,15 @@ def traffic_raw(events: DataFrame) -> DataFrame:
     """Free-form traffic records: two spellings, zeros, blanks, missing and malformed values."""
     user, kind = F.col("user_id"), F.col("event_type")
     even, port = user % 2 == 0, (49152 + user % 16384).cast("int")
-    target = F.format_string("192.168.1.%d", 1 + _k() % 4)
-    listening = 5895 + _k() % 20
-    return events.select(
+    target = _dotted("192.168.1", 1 + F.col("_k") % 4)
+    listening = 5895 + F.col("_k") % 20
+    return _with_k(events).select(
         F.col("event_id").alias("record_id"),
-        F.when(_k() == 98, "not-a-time").when(_k() != 97, iso_text("ts")).alias("timestamp"),
+        F.when(F.col("_k") == 98, "not-a-time").when(F.col("_k") != 97, iso_text("ts")).alias("timestamp"),
         F.when(even, _user_ip()).otherwise("").alias("SrcIP"),
         F.when(~even & (user % 10 != 5), _user_ip()).alias("src_ip"),
-        F.when(_k() % 3 == 0, target).alias("DstIP"),
-        F.when(_k() % 3 == 1, target).otherwise("").alias("dst_ip"),
+        F.when(F.col("_k") % 3 == 0, target).alias("DstIP"),
+        F.when(F.col("_k") % 3 == 1, target).otherwise("").alias("dst_ip"),
         F.when(even, port).otherwise(0).alias("SrcPort"),
         F.when(~even, port).alias("src_port"),
         F.when(even, 0).otherwise(listening).alias("DstPort"),
@@ -92,7 +98,7 @@ def flows(lineitem: DataFrame) -> DataFrame:
         (line * 7).cast("double").alias("ResponseTime"),
         _pick([(flag == "A", "TCP"), (flag == "N", "UDP"), (flag == "R", "ICMP")]).alias("Protocol"),
         _flow_source().alias("SrcIP"),
-        F.format_string("192.168.%d.%d", part % 4, part % 256).alias("DstIP"),
+        _dotted("192.168", part % 4, part % 256).alias("DstIP"),
         (1024 + order % 64512).cast("int").alias("SrcPort"),
         (5896 + line + part % 12).cast("int").alias("DstPort"),
         (packets_sent / duration).alias("PacketRate"),
@@ -146,34 +152,34 @@ def flow_votes(lineitem: DataFrame) -> DataFrame:
 
 
 def _flow_source() -> Column:
-    return F.format_string("10.%d.0.%d", F.col("l_suppkey") % 8, F.col("l_suppkey") % 256)
+    return _dotted("10", F.col("l_suppkey") % 8, "0", F.col("l_suppkey") % 256)
 
 
 def alerts(events: DataFrame) -> DataFrame:
     user, kind = F.col("user_id"), F.col("event_type")
-    slot = _k() % 7
+    slot = F.col("_k") % 7
     named = _pick([(slot == 0, "DoS"), (slot == 1, "PortScan"), (slot == 2, "Malware"),
                    (slot == 3, "DDoS"), (slot == 4, "Brute Force"), (slot == 5, "Normal")], "system")
-    return events.select(
+    return _with_k(events).select(
         (F.col("event_id") + 1).alias("id"), "ts", named.alias("type"),
         _pick([(kind == "error", "danger"), (kind == "click", "warning"),
                (kind == "view", "suspicious")], "safe").alias("severity"),
         F.concat(F.lit("Attack detected: "), named).alias("message"),
         F.when(user % 10 == 0, "").otherwise(_user_ip()).alias("source_ip"),
-        F.format_string('{"traffic":{"SrcIP":"%s","DstPort":%d}}', _user_ip(), 5895 + _k() % 20)
-         .alias("details"),
+        F.concat(F.lit('{"traffic":{"SrcIP":"'), _user_ip(), F.lit('","DstPort":'),
+                 (5895 + F.col("_k") % 20).cast("string"), F.lit("}}")).alias("details"),
         (F.col("event_id") % 3 == 0).alias("acknowledged"),
     )
 
 
 def predictions(events: DataFrame) -> DataFrame:
     """One prediction per captured packet: what the port filter lets through is what gets scored."""
-    slot = _k() % 6
+    slot = F.col("_k") % 6
     label = _pick([(slot == 0, "Normal"), (slot == 1, "DoS"), (slot == 2, "PortScan"),
                    (slot == 3, "SUSPICIOUS"), (slot == 4, "Unknown")], "DDoS")
-    port = 5895 + _k() % 20
+    port = 5895 + F.col("_k") % 20
     captured = ~F.col("event_type").isin("error", "view") & port.between(5900, 5910)
-    return events.filter(captured).select(
+    return _with_k(events).filter(captured).select(
         F.col("event_id").alias("id"), "ts", label.alias("prediction"),
         ensemble_level(label).alias("threat_level"),
         (F.col("value") - F.floor("value")).alias("confidence"),
