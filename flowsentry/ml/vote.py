@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,27 +12,25 @@ from flowsentry.functions.labels import ensemble_level
 from flowsentry.schemas import DETECTORS
 
 
-def _same(a: str, b: Column | str) -> Column:
-    other = F.col(b) if isinstance(b, str) else b
-    return F.coalesce((F.col(a) == other).cast("int"), F.lit(0))
+def _is(detector: str, label: Column) -> Column:
+    return F.coalesce(F.col(detector) == label, F.lit(False))
 
 
-def _ballots(detectors: list[str]) -> Column:
-    """One (votes, place, label) entry per detector that voted; the largest is the winner's, and of
-    equal ones the earliest detector's. Bound as a lambda variable, the label array is built once."""
-    labels = F.array(*[F.col(d) for d in detectors])
+def with_vote_counts(scored: DataFrame, detectors: list[str]) -> DataFrame:
+    """Add `_n_<detector>`: how many detectors gave the same label, 0 for a detector without one.
 
-    def entries(cast: Column) -> Column:
-        return F.transform(cast, lambda label, place: F.struct(
-            F.size(F.filter(cast, lambda other: other == label)).alias("votes"),
-            (-place).alias("place"), label.alias("label")))
-
-    counted = F.element_at(F.transform(F.array(labels), entries), 1)
-    return F.filter(counted, lambda b: b["label"].isNotNull())
+    The counts come out of a generator, which keeps later filters from being pushed below it. Pushed
+    down, they would have every detector's output computed once more for each comparison made here.
+    """
+    counts = [reduce(add, [_is(other, F.col(d)).cast("int") for other in detectors]).alias(f"_n_{d}")
+              for d in detectors]
+    return scored.select("*", F.inline(F.array(F.struct(*counts))))
 
 
-def _two_places(value: str) -> Column:
-    return F.col(value).cast("decimal(10,2)").cast("string")
+def _two_places(value: Column) -> Column:
+    cents = F.floor(value * 100 + 0.5)
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."),
+                    F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def ensemble_vote(scored: DataFrame, detectors: list[str] = DETECTORS,
@@ -42,26 +40,33 @@ def ensemble_vote(scored: DataFrame, detectors: list[str] = DETECTORS,
     Expects a column per detector with its label and one named `<detector>_confidence`. A null label is
     no vote. Ties go to the detector that comes first; no votes at all give Unknown.
     """
-    decided = (scored.withColumn("_ballots", _ballots(detectors))
-               .withColumn("_best", F.array_max("_ballots"))
-               .withColumns({"_winner": F.col("_best.label"), "_top": F.col("_best.votes")}))
-
-    cast_votes = reduce(add, [F.col(d).isNotNull().cast("int") for d in detectors])
-    confidence = reduce(add, [F.when(_same(d, F.col("_winner")) == 1, F.col(f"{d}_confidence"))
-                              .otherwise(0.0) for d in detectors])
-    entries = F.array_distinct(F.transform("_ballots", lambda b: F.struct(b["label"], b["votes"])))
-    parts = [F.concat(F.lit(f"{d}: "), F.col(d), F.lit(" ("), _two_places(f"{d}_confidence"), F.lit(")"))
-             for d in detectors]
-    some = F.col("_winner").isNotNull()
-    heading = F.concat(F.lit("Majority Vote: "), "_winner", F.lit(" ("), F.col("_top").cast("string"),
-                       F.lit("/"), cast_votes.cast("string"), F.lit("). "))
-    detail = F.concat(heading, F.concat_ws(", ", *parts))
+    counted = with_vote_counts(scored, detectors)
+    numbers = [F.col(f"_n_{d}") for d in detectors]
+    decided = counted.withColumn("_top", F.greatest(*numbers) if len(numbers) > 1 else numbers[0])
+    decided = decided.withColumn("_winner", F.coalesce(*[
+        F.when((number == F.col("_top")) & (number > 0), F.col(d))
+        for d, number in zip(detectors, numbers)]))
+
+    winner, some = F.col("_winner"), F.col("_top") > 0
+    voters = reduce(add, [F.col(d).isNotNull().cast("int") for d in detectors])
+    confidence = reduce(add, [F.when(_is(d, winner), F.col(f"{d}_confidence")).otherwise(0.0)
+                              for d in detectors])
+    entries = []
+    for place, d in enumerate(detectors):
+        unseen = [~_is(earlier, F.col(d)) for earlier in detectors[:place]]
+        entries.append(F.when(reduce(and_, unseen, F.col(d).isNotNull()),
+                              F.struct(F.col(d).alias("label"), F.col(f"_n_{d}").alias("count"))))
+    parts = [F.concat(F.lit(f"{d}: "), F.col(d), F.lit(" ("), _two_places(F.col(f"{d}_confidence")),
+                      F.lit(")")) for d in detectors]
+    heading = F.concat(F.lit("Majority Vote: "), winner, F.lit(" ("), F.col("_top").cast("string"),
+                       F.lit("/"), voters.cast("string"), F.lit("). "))
     used = F.create_map(*[x for d in detectors for x in (F.lit(d), F.col(d).isNotNull())])
     return decided.select(
         *(keep or [c for c in scored.columns if c not in detectors]),
-        F.coalesce("_winner", F.lit("Unknown")).alias("prediction"),
+        F.coalesce(winner, F.lit("Unknown")).alias("prediction"),
         F.when(some, ensemble_level("_winner")).alias("threat_level"),
         F.when(some, confidence / F.col("_top")).otherwise(0.0).alias("confidence"),
-        F.when(some, detail).otherwise("No models available").alias("details"),
-        F.map_from_entries(entries).alias("votes"),
+        F.when(some, F.concat(heading, F.concat_ws(", ", *parts)))
+         .otherwise("No models available").alias("details"),
+        F.map_from_entries(F.array_compact(F.array(*entries))).alias("votes"),
         used.alias("models_used"))

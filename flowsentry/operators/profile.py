@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from flowsentry.functions.scores import anomaly_columns, zscore
 from flowsentry.operators.ordering import rank_in_group
@@ -25,8 +26,6 @@ class Moments:
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Rows and share of each class. The total is summed over the few class rows."""
-    from pyspark.sql.window import Window
-
     counted = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
     return counted.withColumn("ratio", F.col("rows") / F.sum("rows").over(Window.partitionBy()))
 
@@ -65,6 +64,13 @@ def stratified_split(df: DataFrame, label: str, key: list[str], train: float = 0
     return numbered.withColumn("split", split).drop("_rank", "_size")
 
 
+def plain_split(df: DataFrame, key: list[str], train: float = 0.8, seed: int = 42) -> DataFrame:
+    """Mark about that share of the rows for training. The mark depends on the key alone, so it stays the
+    same when a lost partition is computed again."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(10_000))
+    return df.withColumn("split", F.when(draw < int(train * 10_000), "train").otherwise("test"))
+
+
 def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int) -> DataFrame:
     """Fold number from 0 for every row, spread evenly inside each class."""
     numbered = rank_in_group(df, [label], [F.col(k) for k in key], "_rank")

@@ -68,7 +68,10 @@ def predict_flows(flows: DataFrame, models: dict[str, PipelineModel], keep: list
 
 def detect(packets: DataFrame, models: dict[str, PipelineModel],
            blocklist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From packets to predictions, alerts and the blocklist they lead to."""
+    """From packets to predictions, alerts and the blocklist they lead to.
+
+    Write the predictions out, or persist them, before using more than one of the three.
+    """
     flows = flow_features(captured(packets))
     key = ["SrcIP", "DstIP", "SrcPort", "DstPort"]
     named = flows.select("*", *[F.col(c).alias(f"flow_{c}") for c in key])

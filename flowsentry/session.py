@@ -6,8 +6,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SESSION_SETTINGS = {
+# Instants are read as UTC. Generated methods above 8000 bytes would run uncompiled on HotSpot; below this
+# limit Spark splits wide projections into methods small enough to be compiled.
+RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+SESSION_SETTINGS = {
+    **RUNTIME_SETTINGS,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -31,8 +38,9 @@ def build_session(app: str = "flowsentry", master: str | None = None,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the one runtime setting results depend on: instants are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the runtime settings to a session made elsewhere."""
+    for name, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 

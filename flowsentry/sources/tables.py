@@ -29,15 +29,16 @@ def read_flows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def read_features_and_labels(spark: SparkSession, features: str, labels: str, key: str,
-                             fmt: str = "parquet") -> DataFrame:
-    """Features and labels stored apart, joined on their row key."""
-    def load(path: str) -> DataFrame:
+                             fmt: str = "parquet", feature_schema: T.StructType | None = None,
+                             label_schema: T.StructType | None = None) -> DataFrame:
+    """Features and labels stored apart, joined on their row key. CSV without a schema is scanned for one."""
+    def load(path: str, schema: T.StructType | None) -> DataFrame:
         reader = spark.read.format(fmt)
         if fmt == "csv":
-            reader = reader.option("header", True).option("inferSchema", True)
-        return reader.load(path)
+            reader = reader.option("header", True).option("inferSchema", schema is None)
+        return (reader.schema(schema) if schema else reader).load(path)
 
-    return labelled_features(load(features), load(labels), key)
+    return labelled_features(load(features, feature_schema), load(labels, label_schema), key)
 
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -306,3 +306,10 @@ def test_moments_are_population(make):
     assert limit.threshold == pytest.approx(4.0)
     verdict = PF.anomaly_verdicts(make([(6.0,), (4.0,)], "x double"), "x", 4.0, []).orderBy("anomaly_score").collect()
     assert [(r.status, r.confidence) for r in verdict] == [("NORMAL", 0.0), ("ANOMALY", 0.5)]
+
+
+def test_plain_split_depends_on_the_key_only(spark):
+    df = spark.range(2000)
+    once = PF.plain_split(df, ["id"]).filter("split = 'train'")
+    again = PF.plain_split(df.repartition(7), ["id"]).filter("split = 'train'")
+    assert once.exceptAll(again).count() == 0 and 1500 < once.count() < 1700
