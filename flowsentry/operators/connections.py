@@ -11,6 +11,7 @@ from flowsentry.functions.text import count_entropy
 from flowsentry.functions.network import per_second
 from flowsentry.operators.blocklist import with_status
 from flowsentry.operators.filters import since
+from flowsentry.operators.joins import keys_apart
 from flowsentry.operators.ordering import previous_in_group
 from flowsentry.schemas import CONNECTION_KEY, FLOW_KEY
 
@@ -102,8 +103,8 @@ def port_entropy(packets: DataFrame) -> DataFrame:
 def session_features(packets: DataFrame, key: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
     """Session statistics that packets can tell, under the session schema's column names.
 
-    Ports and packet sizes are counted per value before they meet in the session's row, and both halves
-    come out partitioned on the session key, so joining them moves nothing.
+    Ports and packet sizes are counted per value before they meet in the session's row, so what is joined
+    is one row per session on either side.
     """
     size = F.col("packet_size")
     totals = packets.groupBy(*key).agg(
@@ -117,7 +118,8 @@ def session_features(packets: DataFrame, key: tuple[str, ...] = ("src_ip", "dst_
     sizes = packets.groupBy(*key, "packet_size").agg(F.count("*").alias("_n"))
     spread = sizes.groupBy(*key).agg(count_entropy(F.col("_n"), F.sum("_n")).alias("entropy_packets"))
     seconds = (micros("_end") - micros("_start")) / MICROS
-    joined = totals.join(spread, list(key)).withColumn("connection_duration", seconds)
+    spread, match, _ = keys_apart(spread, list(key))
+    joined = totals.join(spread, match).withColumn("connection_duration", seconds)
     length, n = F.col("connection_duration"), F.col("packet_count")
     return joined.select(
         *key, "packet_count", "total_bytes", "avg_packet_size", "std_packet_size",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +16,7 @@ from flowsentry.schemas import ADVICE, DEFAULT_ADVICE
 BROADCAST_ROWS = 100_000
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner",
+def join_bounded(big: DataFrame, small: DataFrame, on: list[str] | str | Column, how: str = "inner",
                  max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast `small` once a bounded count has shown it fits; otherwise shuffle both sides, where
     adaptive execution splits keys that hold too much of `big`."""
@@ -21,6 +24,14 @@ def join_bounded(big: DataFrame, small: DataFrame, on: list[str] | str, how: str
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
+def keys_apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column, list[str]]:
+    """`df` with its keys renamed, a condition matching them to the plain names in which missing keys
+    match each other too, and the new names. A plain join on columns would lose rows with missing keys."""
+    names = {key: f"_key_{key}" for key in keys}
+    match = reduce(and_, [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()])
+    return df.withColumnsRenamed(names), match, list(names.values())
+
+
 def labelled_features(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Features with the labels stored apart from them, matched on the row key."""
     return features.join(labels, key)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowsentry.operators.joins import join_bounded
+from flowsentry.operators.joins import join_bounded, keys_apart
 from flowsentry.session import checkpointed
 
 # Layout of monotonically_increasing_id(): partition number above, row number below these bits.
@@ -50,23 +50,24 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: st
     wanted = {name: F.col("_place") - F.col("_first") + 1}
     if size:
         wanted[size] = F.col("_members")
-    return (join_bounded(ranked, groups, group).withColumns(wanted)
-            .drop("_place", "_first", "_members"))
+    groups, match, names = keys_apart(groups, group)
+    return (join_bounded(ranked, groups, match).withColumns(wanted)
+            .drop("_place", "_first", "_members", *names))
 
 
 def previous_in_group(df: DataFrame, group: list[str], order: list[str], value: str,
                       name: str = "previous") -> DataFrame:
     """`value` of the preceding row of the same group, null for the first.
 
-    The neighbour is looked up inside the slice; only the first row a group has in a slice takes it from
-    the last row the group has in an earlier slice.
+    The neighbour is looked up inside the slice. The last row a group has in an earlier slice is put in front
+    of its rows in the next one as a marker, so that the first of them finds it in the same place.
     """
     sliced = sorted_slices(df, [F.col(c) for c in group + order])
-    inside = Window.partitionBy("_slice", *group).orderBy("_row")
-    near = sliced.withColumn("_near", F.lag(value).over(inside))
     ends = sliced.groupBy("_slice", *group).agg(F.max_by(value, "_row").alias("_last"))
     across = Window.partitionBy(*group).orderBy("_slice")
-    carried = ends.select("_slice", *group, F.lag("_last").over(across).alias("_far"))
-    return (near.join(carried, ["_slice", *group])
-            .withColumn(name, F.coalesce("_near", "_far"))
-            .drop("_slice", "_row", "_near", "_far"))
+    markers = (ends.withColumn(value, F.lag("_last").over(across)).drop("_last")
+               .filter(F.col(value).isNotNull()).withColumn("_row", F.lit(-1).cast("bigint")))
+    inside = Window.partitionBy("_slice", *group).orderBy("_row")
+    return (sliced.unionByName(markers, allowMissingColumns=True)
+            .withColumn(name, F.lag(value).over(inside))
+            .filter(F.col("_row") >= 0).drop("_slice", "_row"))

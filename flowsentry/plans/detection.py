@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.ml.detectors import Settings, fit_detector, score, score_all
-from flowsentry.ml.features import feature_matrix, spread
+from flowsentry.ml.features import feature_matrix
 from flowsentry.ml.metrics import weighted_metrics
 from flowsentry.ml.persist import save_detector
 from flowsentry.ml.vote import ensemble_vote
@@ -29,7 +29,7 @@ def training_frame(flows: DataFrame, key: list[str]) -> DataFrame:
 def train_detectors(split: DataFrame, detectors: list[str] = DETECTORS,
                     settings: Settings | None = None) -> dict[str, PipelineModel]:
     """Fit the detectors one after another on the training rows. One failing does not stop the others."""
-    train = spread(split.filter(F.col("split") == "train").select(*FLOW_FEATURES, FLOW_LABEL))
+    train = split.filter(F.col("split") == "train").select(*FLOW_FEATURES, FLOW_LABEL)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
     for detector in detectors:

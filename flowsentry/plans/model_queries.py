@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowsentry.ml import anomaly as MA
 from flowsentry.ml import tuning as MT
 from flowsentry.ml.detectors import QUICK, Settings, feature_importance, score, score_all
-from flowsentry.ml.features import feature_matrix, spread
+from flowsentry.ml.features import feature_matrix
 from flowsentry.ml.vote import ensemble_vote
 from flowsentry.operators.profile import stratified_folds
 from flowsentry.plans.detection import train_detectors, training_frame
@@ -69,14 +69,14 @@ def feature_importance_(t: Tables) -> DataFrame:
 def rf_grid(t: Tables) -> DataFrame:
     train = training_frame(t.flows, KEY).filter(F.col("split") == "train")
     grid = {"numTrees": [4, 8], "maxDepth": [4, 6], "minInstancesPerNode": [1, 2]}
-    return MT.grid_search(spread(train.select(*FLOW_FEATURES, FLOW_LABEL)), grid)[0]
+    return MT.grid_search(train.select(*FLOW_FEATURES, FLOW_LABEL), grid)[0]
 
 
 @register
 def cv_f1(t: Tables) -> DataFrame:
     rows = feature_matrix(t.flows, keep=[*KEY, FLOW_LABEL])
     folded = stratified_folds(rows, FLOW_LABEL, KEY, 5)
-    return MT.cross_validated_f1(spread(folded), 5, SMALL_FOREST)
+    return MT.cross_validated_f1(folded, 5, SMALL_FOREST)
 
 
 def _embedding_detector(t: Tables) -> tuple[DataFrame, MA.AnomalyDetector]:

@@ -313,3 +313,14 @@ def test_plain_split_depends_on_the_key_only(spark):
     once = PF.plain_split(df, ["id"]).filter("split = 'train'")
     again = PF.plain_split(df.repartition(7), ["id"]).filter("split = 'train'")
     assert once.exceptAll(again).count() == 0 and 1500 < once.count() < 1700
+
+
+def test_rows_with_missing_keys_are_kept(make):
+    df = make([packet(1, "2024-01-01 00:00:00", None), packet(2, "2024-01-01 00:00:02", None),
+               packet(3, "2024-01-01 00:00:05", "a", dst_port=None)], PACKET)
+    assert {r.packet_id: r.gap_ms for r in CN.packet_gaps(df).collect()} == {1: 0.0, 2: 2000.0, 3: 0.0}
+    assert CN.session_features(df).count() == 2
+    assert CN.sessions(df, 60).count() == 2
+    labelled = make([(1, None), (2, None), (3, "a")], "id long, label string")
+    split = PF.stratified_split(labelled, "label", ["id"], 0.5)
+    assert rows(split.select("id", "split"), "id") == [(1, "train"), (2, "test"), (3, "test")]
