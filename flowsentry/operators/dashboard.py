@@ -14,6 +14,9 @@ from flowsentry.operators.toplists import latest
 from flowsentry.schemas import ALARM_SEVERITIES, NAMED_ATTACKS
 
 
+_SERIES = ["normal", "suspicious", "threats"]
+
+
 def add_up(parts: list[tuple[DataFrame, dict[str, Column]]], by: list[str] | None = None) -> DataFrame:
     """One row (or one per `by`) of measures that come from different tables.
 
@@ -110,8 +113,9 @@ def traffic_buckets(records: DataFrame, level: str = "threat_level", bucket_seco
     Only the window's rows are counted; empty buckets are added to the counted ones.
     """
     span = f"{bucket_seconds * buckets} SECONDS"
-    now = as_of_column(records, as_of)
-    recent = records.filter((F.col("ts") > as_of_column(records, as_of, back=span)) & (F.col("ts") <= now))
+    start = as_of_column(records, as_of, back=span)
+    now = start + F.expr(f"INTERVAL {span}")
+    recent = records.filter((F.col("ts") > start) & (F.col("ts") <= now))
     age = F.floor((micros(now) - micros("ts")) / 1_000_000)
     placed = recent.select((buckets - 1 - F.floor(age / bucket_seconds)).cast("bigint").alias("bucket"),
                            chart_class(level).alias("_class"))
@@ -121,9 +125,6 @@ def traffic_buckets(records: DataFrame, level: str = "threat_level", bucket_seco
         "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in _SERIES])
 
 
-_SERIES = ["normal", "suspicious", "threats"]
-
-
 def bucket_totals(buckets: DataFrame) -> DataFrame:
     return buckets.agg(*[F.sum(c).alias(c) for c in _SERIES])
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.functions.clock import AsOf, as_of_column, iso_text
+from flowsentry.functions.clock import AsOf, as_of_column, iso_text, micros
 from flowsentry.functions.labels import severity_name, severity_rank
-from flowsentry.operators.connections import connection_stats, MICROS
+from flowsentry.operators.connections import MICROS, connection_stats
 from flowsentry.operators.joins import with_advice
-from flowsentry.functions.clock import micros
 from flowsentry.schemas import ALARM_SEVERITIES, CONNECTION_KEY
 
 # Report horizons and their lengths in hours.
@@ -28,17 +27,18 @@ def threat_table(alerts: DataFrame) -> DataFrame:
 def horizon_table(traffic: DataFrame, alerts: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Connections, bytes and alarms of several horizons back from `as_of`.
 
-    Both tables are cut to the longest horizon and reduced in one pass with a sum per horizon.
+    Both tables are cut to the longest horizon and reduced in one pass with a sum per horizon. The shorter
+    ones start a fixed time after the longest, so the newest time is looked up once.
     """
-    longest = f"{max(HORIZONS.values())} HOURS"
-    cutoff = as_of_column(traffic, as_of, back=longest)
+    longest = max(HORIZONS.values())
+    cutoff = as_of_column(traffic, as_of, back=f"{longest} HOURS")
     calls = traffic.filter(F.col("ts") >= cutoff).select(
         "ts", "bytes", F.lit(1).alias("_call"), F.lit(0).alias("_alarm"))
     alarms = alerts.filter((F.col("ts") >= cutoff) & F.col("severity").isin(ALARM_SEVERITIES)).select(
         "ts", F.lit(0).cast("bigint").alias("bytes"), F.lit(0).alias("_call"), F.lit(1).alias("_alarm"))
     sums, rows = [], []
     for i, (name, hours) in enumerate(HORIZONS.items()):
-        inside = F.col("ts") >= as_of_column(traffic, as_of, back=f"{hours} HOURS")
+        inside = F.col("ts") >= cutoff + F.expr(f"INTERVAL {longest - hours} HOURS")
         for source in ("_call", "bytes", "_alarm"):
             sums.append(F.coalesce(F.sum(F.when(inside, F.col(source))), F.lit(0))
                         .cast("bigint").alias(f"{source}{i}"))
