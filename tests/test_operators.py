@@ -324,3 +324,14 @@ def test_rows_with_missing_keys_are_kept(make):
     labelled = make([(1, None), (2, None), (3, "a")], "id long, label string")
     split = PF.stratified_split(labelled, "label", ["id"], 0.5)
     assert rows(split.select("id", "split"), "id") == [(1, "train"), (2, "test"), (3, "test")]
+
+
+def test_one_group_holding_every_row_is_cut_into_even_slices(spark):
+    df = spark.range(20_000).selectExpr("id", "'hot' AS g").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in OR.sorted_slices(df, [F.col("g"), F.col("id")])
+                 .groupBy("_slice").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and sum(sizes) == 20_000 and max(sizes) < 2 * 5_000
