@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,13 +37,33 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], fold
             .trigger(**(trigger or ONCE)).start())
 
 
+def _newest_base(spark: SparkSession, folder: str) -> tuple[DataFrame | None, int]:
+    """The latest compacted rows and the batch they reach up to; none and -1 before any compaction."""
+    try:
+        bases = spark.read.parquet(f"{folder}/base")
+    except AnalysisException:
+        return None, -1
+    upto = bases.agg(F.max("upto")).first()[0]
+    return bases.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id"), upto
+
+
 def current_rows(spark: SparkSession, folder: str, key: list[str]) -> DataFrame:
-    """The newest version of every key among the kept updates."""
-    updates = spark.read.parquet(f"{folder}/data")
-    values = [c for c in updates.columns if c not in (*key, "batch_id")]
-    newest = updates.groupBy(*key).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
+    """The newest version of every key, from the latest compacted rows and the updates since."""
+    base, upto = _newest_base(spark, folder)
+    updates = spark.read.parquet(f"{folder}/data").filter(F.col("batch_id") > upto)
+    versions = updates if base is None else base.unionByName(updates)
+    values = [c for c in versions.columns if c not in (*key, "batch_id")]
+    newest = versions.groupBy(*key).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
     return newest.select(*key, "_row.*")
 
 
+def compact(spark: SparkSession, folder: str, key: list[str]) -> int:
+    """Write the current rows as the new starting point for readers. Returns the batch it reaches up to;
+    folders of batches up to it are not read any more and may be removed."""
+    newest = spark.read.parquet(f"{folder}/data").agg(F.max("batch_id")).first()[0]
+    current_rows(spark, folder, key).write.mode("overwrite").parquet(f"{folder}/base/upto={newest}")
+    return newest
+
+
 def appended_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/data")

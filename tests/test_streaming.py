@@ -104,3 +104,24 @@ def test_notifications_come_once(spark, tmp_path, arriving):
     alerts = stream.select(F.col("packet_id").alias("id"), "ts", F.lit("DANGER").alias("severity"))
     finish(sinks.append_files(jobs.new_danger_alerts(alerts), str(tmp_path / "out")))
     assert sorted(r.id for r in sinks.appended_rows(spark, str(tmp_path / "out")).collect()) == [0, 1]
+
+
+def test_compacted_rows_and_later_updates_agree(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def batch(number, *rows):
+        sinks.write_batch(spark.createDataFrame(rows, "k string, n int"), f"{out}/data", number)
+
+    def current():
+        return {r.k: r.n for r in sinks.current_rows(spark, out, ["k"]).collect()}
+
+    batch(0, ("a", 1), ("b", 1))
+    batch(1, ("a", 2))
+    assert current() == {"a": 2, "b": 1}
+    assert sinks.compact(spark, out, ["k"]) == 1
+    assert current() == {"a": 2, "b": 1}
+    batch(2, ("b", 5), ("c", 7))
+    assert current() == {"a": 2, "b": 5, "c": 7}
+    assert sinks.compact(spark, out, ["k"]) == 2
+    batch(3, ("a", 9))
+    assert current() == {"a": 9, "b": 5, "c": 7}
