@@ -150,17 +150,19 @@ def _unsettled(active: DataFrame, compared: DataFrame, classes: DataFrame, simil
 
 
 def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
-    """(item, key, size): each node's rarest items, so many that nodes with a link have one in common.
+    """(item, key, size, left): each node's rarest items, so many that nodes with a link have one in common.
 
-    Items that no other node holds can't be shared; a node with too many of them has no link and drops out.
+    Items that no other node holds can't be shared; a node with too many of them has no link and drops out. `left` is
+    how many of the node's shareable items come after this one.
     """
     items = bags.select("key", F.size("items").alias("size"), F.explode("items").alias("item"))
     common = items.groupBy("item").agg(F.count("*").alias("holders")).filter("holders > 1")
     ranked = items.join(common, "item").groupBy("key", "size").agg(
         F.array_sort(F.collect_list(F.struct("holders", "item"))).alias("items"))
     need = F.ceil(F.col("size") * F.lit(similarity) - 1e-9)
-    return ranked.filter(F.size("items") >= need).select("key", "size", F.explode(F.slice(
-        "items", F.lit(1), (F.size("items") - need + 1).cast("int"))).alias("x")).select("x.item", "key", "size")
+    return ranked.filter(F.size("items") >= need).select("key", "size", F.size("items").alias("common"), F.posexplode(
+        F.slice("items", F.lit(1), (F.size("items") - need + 1).cast("int"))).alias("place", "x")).select(
+        "x.item", "key", "size", (F.col("common") - 1 - F.col("place")).alias("left"))
 
 
 def _across(rare: DataFrame, classes: DataFrame, hubs: int | None, similarity: float) -> DataFrame:
@@ -174,14 +176,15 @@ def _across(rare: DataFrame, classes: DataFrame, hubs: int | None, similarity: f
     if hubs:
         # the smallest few of each item, a share of them at a time
         part = named.withColumn("share", F.crc32("key") % 64)
-        least = part.groupBy("item", "share").agg(F.min(F.struct("key", "size", "component")).alias("row"))
+        least = part.groupBy("item", "share").agg(F.min(F.struct("key", "size", "left", "component")).alias("row"))
         least = least.groupBy("item").agg(F.slice(F.array_sort(F.collect_list("row")), 1, hubs).alias("rows"))
         centre = least.select("item", F.explode("rows").alias("row")).select("item", "row.*")
     centre = centre.select("item", F.col("key").alias("hub"), F.col("size").alias("hub_size"),
-                           F.col("component").alias("hub_component"))
+                           F.col("left").alias("hub_left"), F.col("component").alias("hub_component"))
     ordered = F.col("key") > F.col("hub") if not hubs else F.col("key") != F.col("hub")
+    # at their first common item, nodes with a link still have enough items for the overlap that it takes
+    needed = (F.col("size") + F.col("hub_size")) * (similarity / (1 + similarity)) - 1e-6
     met = named.join(centre, "item").filter(
         ordered & (F.col("component") != F.col("hub_component"))
-        & (F.col("size") >= F.col("hub_size") * similarity - 1e-9)
-        & (F.col("hub_size") >= F.col("size") * similarity - 1e-9))
+        & (F.least("left", "hub_left") + 1 >= needed))
     return met.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()

@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowsentry.llm.decontaminate import find_hits
+from flowsentry.llm.fingerprints import fingerprints
+from flowsentry.llm.htmlblocks import extract
+from flowsentry.llm.licences import scan
 from flowsentry.llm.nearcopies import near_copies
+from flowsentry.llm.packing import pack
+from flowsentry.llm.quality import fit_quality, score_quality
+from flowsentry.llm.sharding import shard
+from flowsentry.llm.toxicity import fit_toxicity, score_toxicity
+from flowsentry.llm.urltrust import Rule, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
+         Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
+TOKENIZER = "word_bpe_49k.json"
+
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
@@ -21,7 +36,71 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+@query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document, learnt from the labelled rows that aren't held out."""
+    docs = read(spark, folder, "documents")
+    return score_quality(docs, fit_quality(docs, read(spark, folder, "labels")))
+
+
 @query
 def op2_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """The near-copy class of every document."""
     return near_copies(read(spark, folder, "documents"))
+
+
+@query
+def op3_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's url: the rules', else that of trust and distrust along links between hosts."""
+    return judge(read(spark, folder, "pages"), RULES)
+
+
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(read(spark, folder, "pages"))
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in packed sequences, mixed by source."""
+    return pack(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that benchmark windows cover, and the items they come from."""
+    found = find_hits(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["past"] - s["first"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard of 16 with nearly equal sizes, and its slot there."""
+    return shard(read(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document, learnt from labelled rows that aren't held out."""
+    docs = read(spark, folder, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read(spark, folder, "labels")))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrase fingerprint of every document and of its edited text, and how alike they are."""
+    return fingerprints(read(spark, folder, "documents"))
+
+
+@query
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence of every document, its own or its directory's; source and language are the directories."""
+    docs = read(spark, folder, "documents")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", "doc_id")]
+    found = scan(docs.select(F.concat_ws("/", *parts).alias("path"), "text"))
+    return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("bigint"))
