@@ -33,7 +33,7 @@ QUEUES = 65536
 # Windows' worth of tokens that wait in a task, so that a source has documents when its turn comes.
 WAITING = 8
 # A turn serves at least so many ids, so that a rare source isn't cut into slivers.
-TURN = 256
+TURN = 64
 # First-round tasks whose rests meet in one second-round task: at most GATHERED * WAITING windows of tokens.
 GATHERED = 32
 
