@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ def truthy(value: Column | str, empty) -> Column:
 def ip_to_int(ip: Column | str) -> Column:
     """Dotted address as one number; anything but four whole numbers gives 0. Octets are not range-checked."""
     parts = F.split(ip if isinstance(ip, Column) else F.col(ip), r"\.")
-    number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda high, octet:
-                         F.shiftleft(high, 8).bitwiseOR(octet.try_cast("bigint")))
+    number = reduce(Column.bitwiseOR, [F.shiftleft(F.get(parts, F.lit(place)).try_cast("bigint"), 24 - 8 * place)
+                                       for place in range(4)])
     return F.coalesce(F.when(F.size(parts) == 4, number), F.lit(0).cast("bigint"))
 
 

@@ -16,11 +16,15 @@ from pyspark.sql import types as T
 
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
                             DefaultParamsReadable, DefaultParamsWritable):
-    """cos(xW + b) with seeded W and b; one matrix product per Arrow batch.
+    """cos(xW + b) with W and b drawn once; one matrix product per Arrow batch.
 
-    `gamma` 0 stands for one over the number of inputs, the usual scale for standardised inputs.
+    `gamma` 0 stands for one over the number of inputs, the usual scale for standardised inputs. `drawn` fixes W
+    and b as parameters, which are saved with the model, so a loaded one doesn't depend on the random generator.
     """
 
+    weights = Param(Params._dummy(), "weights", "W, row after row", TypeConverters.toListFloat)
+    offsets = Param(Params._dummy(), "offsets", "b", TypeConverters.toListFloat)
+
     size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
     gamma = Param(Params._dummy(), "gamma", "kernel width, 0 for 1/inputs", TypeConverters.toFloat)
 
@@ -32,19 +36,23 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
         if inputCol and outputCol:
             self._set(inputCol=inputCol, outputCol=outputCol)
 
+    def drawn(self, width: int) -> RandomFourierFeatures:
+        """Draw W and b for so many inputs."""
+        size, random = self.getOrDefault(self.size), np.random.default_rng(self.getOrDefault(self.seed))
+        spread = np.sqrt(2 * (self.getOrDefault(self.gamma) or 1.0 / width))
+        self._set(weights=random.normal(scale=spread, size=(width, size)).ravel().tolist(),
+                  offsets=random.uniform(0, 2 * np.pi, size).tolist())
+        return self
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, seed = self.getOrDefault(self.size), self.getOrDefault(self.seed)
-        gamma = self.getOrDefault(self.gamma)
+        size = self.getOrDefault(self.size)
+        weights = np.array(self.getOrDefault(self.weights)).reshape(-1, size)
+        offsets = np.array(self.getOrDefault(self.offsets))
 
         def project(rows: pd.Series) -> pd.Series:
             if rows.empty:
                 return pd.Series([], dtype=object)
             inputs = np.stack(rows.to_numpy())
-            random = np.random.default_rng(seed)
-            width = inputs.shape[1]
-            spread = np.sqrt(2 * (gamma or 1.0 / width))
-            weights = random.normal(scale=spread, size=(width, size))
-            offsets = random.uniform(0, 2 * np.pi, size)
             return pd.Series(list(np.sqrt(2.0 / size) * np.cos(inputs @ weights + offsets)))
 
         mapped = F.pandas_udf(project, T.ArrayType(T.DoubleType()))

@@ -33,14 +33,22 @@ def load_detector(spark: SparkSession, folder: str, detector: str) -> tuple[Pipe
             _read_json(spark, f"{folder}/{detector}/metadata"))
 
 
-def load_detectors(spark: SparkSession, folder: str) -> dict[str, PipelineModel]:
-    """Every detector found in the folder; one that is missing or unreadable simply has no vote."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def load_detectors(spark: SparkSession, folder: str, detectors: list[str] = DETECTORS,
+                   missing: list[str] | None = None) -> dict[str, PipelineModel]:
+    """The named detectors of a folder. One that isn't there is an error; with `missing` it has no vote and is added
+    to that list. One that is there but can't be read is always an error."""
     models = {}
-    for detector in DETECTORS:
-        try:
+    for detector in detectors:
+        if missing is not None and not exists(spark, f"{folder}/{detector}/model"):
+            missing.append(detector)
+        else:
             models[detector] = load_detector(spark, folder, detector)[0]
-        except Exception as error:
-            print(f"{detector} not loaded: {error}")
     return models
 
 

@@ -54,8 +54,9 @@ def ensemble_vote(scored: DataFrame, detectors: list[str] = DETECTORS,
     entries = []
     for place, d in enumerate(detectors):
         unseen = [~_is(earlier, F.col(d)) for earlier in detectors[:place]]
-        entries.append(F.when(reduce(and_, unseen, F.col(d).isNotNull()),
-                              F.struct(F.col(d).alias("label"), F.col(f"_n_{d}").alias("count"))))
+        entry = F.array(F.struct(F.col(d).alias("label"), F.col(f"_n_{d}").alias("count")))
+        none = F.array().cast("array<struct<label:string,count:int>>")
+        entries.append(F.when(reduce(and_, unseen, F.col(d).isNotNull()), entry).otherwise(none))
     parts = [F.concat(F.lit(f"{d}: "), F.col(d), F.lit(" ("), _two_places(F.col(f"{d}_confidence")),
                       F.lit(")")) for d in detectors]
     heading = F.concat(F.lit("Majority Vote: "), winner, F.lit(" ("), F.col("_top").cast("string"),
@@ -68,5 +69,5 @@ def ensemble_vote(scored: DataFrame, detectors: list[str] = DETECTORS,
         F.when(some, confidence / F.col("_top")).otherwise(0.0).alias("confidence"),
         F.when(some, F.concat(heading, F.concat_ws(", ", *parts)))
          .otherwise("No models available").alias("details"),
-        F.map_from_entries(F.array_compact(F.array(*entries))).alias("votes"),
+        F.map_from_entries(F.flatten(F.array(*entries))).alias("votes"),
         used.alias("models_used"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.operators.joins import join_bounded
-
 
 def _addresses(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.trim(column).alias("ip")).filter(F.col("ip") != "")
@@ -32,14 +30,14 @@ def listed(blocklist: DataFrame) -> DataFrame:
 def with_status(connections: DataFrame, blocklist: DataFrame) -> DataFrame:
     """`blocked` for sources on the list, `active` for the rest."""
     flagged = blocklist.select(F.col("ip").alias("src_ip"), F.lit(True).alias("_blocked"))
-    return (join_bounded(connections, flagged, "src_ip", "left")
+    return (connections.join(flagged, "src_ip", "left")
             .withColumn("status", F.when(F.col("_blocked"), "blocked").otherwise("active"))
             .drop("_blocked"))
 
 
 def only_blocked(traffic: DataFrame, blocklist: DataFrame) -> DataFrame:
-    return join_bounded(traffic, blocklist.select(F.col("ip").alias("src_ip")), "src_ip", "left_semi")
+    return traffic.join(blocklist.select(F.col("ip").alias("src_ip")), "src_ip", "left_semi")
 
 
 def only_unblocked(traffic: DataFrame, blocklist: DataFrame) -> DataFrame:
-    return join_bounded(traffic, blocklist.select(F.col("ip").alias("src_ip")), "src_ip", "left_anti")
+    return traffic.join(blocklist.select(F.col("ip").alias("src_ip")), "src_ip", "left_anti")

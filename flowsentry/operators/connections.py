@@ -43,7 +43,8 @@ def active_connections(traffic: DataFrame, blocklist: DataFrame, window: str = "
                        as_of: AsOf = None, limit: int | None = 100) -> DataFrame:
     """Connections seen in the last `window`, newest first, with their blocked/active status.
 
-    `traffic` is in normal form. The blocklist meets the few grouped rows, not the traffic.
+    `traffic` is in normal form. The blocklist meets the grouped rows, not the traffic. `limit` is the page
+    size; None gives all.
     """
     recent = since(traffic, window, as_of)
     grouped = recent.groupBy(*FLOW_KEY).agg(

@@ -57,15 +57,15 @@ def _normal_percentage(records: str, attacks: str) -> Column:
 
 
 def dashboard_stats(traffic: DataFrame, predictions: DataFrame, alerts: DataFrame,
-                    alert_window: int | None = 100) -> DataFrame:
-    """Headline numbers. `total_alerts` looks at the newest `alert_window` alerts only."""
+                    alert_window: int | None = None) -> DataFrame:
+    """Headline numbers. With `alert_window`, `total_alerts` looks at that many newest alerts only."""
     danger = F.col("severity") == "danger"
     counted = add_up([
         (traffic, {"total_records": F.count("*"), "total_bytes_analyzed": F.sum("bytes")}),
         (predictions, {"_attacks": F.count_if(counts_as_attack("prediction"))}),
         (alerts, {"total_attacks_detected": F.count_if(danger),
                   "active_threats": F.count_if(danger & ~F.col("acknowledged"))}),
-        (latest(alerts.select("id", "ts", "severity"), alert_window),
+        (latest(alerts.select("id", "ts", "severity"), alert_window) if alert_window else alerts,
          {"total_alerts": F.count_if(F.col("severity").isin(ALARM_SEVERITIES))}),
     ])
     return counted.select(
@@ -74,24 +74,24 @@ def dashboard_stats(traffic: DataFrame, predictions: DataFrame, alerts: DataFram
         _normal_percentage("total_records", "_attacks").alias("normal_percentage"), "total_alerts")
 
 
-def threat_distribution(predictions: DataFrame, limit: int | None = 100) -> DataFrame:
-    """How many of the newest `limit` predictions are safe, suspicious and danger."""
+def threat_distribution(predictions: DataFrame, limit: int | None = None) -> DataFrame:
+    """How many predictions (with `limit`, of the newest so many) are safe, suspicious and danger."""
     recent = latest(predictions.select("id", "ts", "prediction"), limit) if limit else predictions
     level = threat_level("prediction")
     return recent.agg(*[F.count_if(level == name).alias(name)
                         for name in ("safe", "suspicious", "danger")])
 
 
-def attack_distribution(alerts: DataFrame, limit: int | None = 100) -> DataFrame:
-    """How many of the newest `limit` alerts fall under each named attack, or under Other."""
+def attack_distribution(alerts: DataFrame, limit: int | None = None) -> DataFrame:
+    """How many alerts (with `limit`, of the newest so many) fall under each named attack, or under Other."""
     recent = latest(alerts.select("id", "ts", "type"), limit) if limit else alerts
     bucket = attack_bucket("type")
     return recent.agg(*[F.count_if(bucket == name).alias(name) for name in [*NAMED_ATTACKS, "Other"]])
 
 
 def report_summary(traffic: DataFrame, predictions: DataFrame, alerts: DataFrame,
-                   max_alerts: int = 50, max_predictions: int = 100) -> DataFrame:
-    """The five numbers a report opens with; alerts and predictions are counted up to their page size."""
+                   max_alerts: int | None = None, max_predictions: int | None = None) -> DataFrame:
+    """The five numbers a report opens with. With page sizes, alerts and predictions are counted up to them."""
     counted = add_up([
         (traffic, {"total_connections": F.count("*")}),
         (predictions, {"_attacks": F.count_if(counts_as_attack("prediction")),
@@ -102,6 +102,7 @@ def report_summary(traffic: DataFrame, predictions: DataFrame, alerts: DataFrame
     return counted.select(
         "total_connections", "total_attacks_detected",
         _normal_percentage("total_connections", "_attacks").alias("normal_percentage"),
+        # least() passes over missing bounds
         F.least("_alerts", F.lit(max_alerts).cast("bigint")).alias("total_alerts"),
         F.least("_predictions", F.lit(max_predictions).cast("bigint")).alias("total_predictions"))
 

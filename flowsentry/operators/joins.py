@@ -13,17 +13,6 @@ from flowsentry.functions.labels import threat_level
 from flowsentry.operators.toplists import latest
 from flowsentry.schemas import ADVICE, DEFAULT_ADVICE
 
-BROADCAST_ROWS = 100_000
-
-
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str] | str | Column, how: str = "inner",
-                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `small` once a bounded count has shown it fits; otherwise shuffle both sides, where
-    adaptive execution splits keys that hold too much of `big`."""
-    fits = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if fits else small, on, how)
-
-
 def keys_apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column, list[str]]:
     """`df` with its keys renamed, a condition matching them to the plain names in which missing keys
     match each other too, and the new names. A plain join on columns would lose rows with missing keys."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowsentry.operators.joins import join_bounded, keys_apart
+from flowsentry.operators.joins import keys_apart
 from flowsentry.session import checkpointed
 
 # Layout of monotonically_increasing_id(): partition number above, row number below these bits.
@@ -51,7 +51,7 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: st
     if size:
         wanted[size] = F.col("_members")
     groups, match, names = keys_apart(groups, group)
-    return (join_bounded(ranked, groups, match).withColumns(wanted)
+    return (ranked.join(groups, match).withColumns(wanted)
             .drop("_place", "_first", "_members", *names))
 
 

@@ -27,8 +27,12 @@ def training_frame(flows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def train_detectors(split: DataFrame, detectors: list[str] = DETECTORS,
-                    settings: Settings | None = None) -> dict[str, PipelineModel]:
-    """Fit the detectors one after another on the training rows. One failing does not stop the others."""
+                    settings: Settings | None = None, missing: dict[str, Exception] | None = None
+                    ) -> dict[str, PipelineModel]:
+    """Fit the detectors one after another on the training rows.
+
+    A failure is raised. With `missing` the others go on, and the dictionary tells which detectors failed and why.
+    """
     train = split.filter(F.col("split") == "train").select(*FLOW_FEATURES, FLOW_LABEL)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
@@ -36,7 +40,9 @@ def train_detectors(split: DataFrame, detectors: list[str] = DETECTORS,
         try:
             models[detector] = fit_detector(train, detector, settings)
         except Exception as error:
-            print(f"{detector} not trained: {error}")
+            if missing is None:
+                raise
+            missing[detector] = error
     train.unpersist()
     return models
 

@@ -212,7 +212,8 @@ _WEIGHTED = "accuracy, precision, recall, f1_score"
 ORACLES: dict[str, str] = {
     "flows_scan": _with(FLOWS) + "SELECT * FROM flows",
     "export_rows": _with(ALERTS) + f"""SELECT CAST(id AS VARCHAR) AS id, {_ISO.format('ts')} AS ts, type, severity,
-  message, source_ip, CASE WHEN acknowledged THEN 'true' ELSE '' END AS acknowledged FROM alerts""",
+  message, source_ip, coalesce(CAST(details AS VARCHAR), '') AS details,
+  CASE WHEN acknowledged THEN 'true' ELSE '' END AS acknowledged FROM alerts""",
     "capture_filter": _with(PACKETS) + f"SELECT * FROM packets WHERE {_CAPTURE}",
     "alerts_by_severity": _with(ALERTS) + "SELECT * FROM alerts WHERE severity = 'danger'",
     "alerts_open": _with(ALERTS) + "SELECT * FROM alerts WHERE NOT acknowledged",
@@ -280,6 +281,10 @@ ORACLES: dict[str, str] = {
   WHERE ts >= (SELECT max(ts) FROM normal) - INTERVAL 1 DAY GROUP BY {_KEY5})
 SELECT g.*, CASE WHEN ip IS NULL THEN 'active' ELSE 'blocked' END AS status FROM g LEFT JOIN blocked ON ip = src_ip
 ORDER BY last_seen DESC, {_KEY5} LIMIT 100""",
+    "active_connections_all": _with(NORMAL, BLOCKED) + f""", g AS (SELECT {_KEY5}, count(*) AS packet_count,
+  CAST(sum(bytes) AS BIGINT) AS bytes, max(ts) AS last_seen FROM normal
+  WHERE ts >= (SELECT max(ts) FROM normal) - INTERVAL 1 DAY GROUP BY {_KEY5})
+SELECT g.*, CASE WHEN ip IS NULL THEN 'active' ELSE 'blocked' END AS status FROM g LEFT JOIN blocked ON ip = src_ip""",
     "flow_features": _with(PACKETS) + f""", g AS (SELECT {_KEY5}, arg_min(packet_size, ts) AS ps, count(*) AS n,
   CAST(sum(packet_size) AS BIGINT) AS total, CAST(sum(payload_size) AS DOUBLE) / count(payload_size) AS payload,
   {_SECONDS.format('max(ts)', 'min(ts)')} AS span FROM packets GROUP BY {_KEY5}),
@@ -303,8 +308,7 @@ t AS (SELECT count(*) AS n, CAST(sum(bytes) AS BIGINT) AS b FROM traffic),
 p AS (SELECT count(*) FILTER ({_ATTACK}) AS attacks FROM predictions),
 a AS (SELECT count(*) FILTER (severity = 'danger') AS danger,
   count(*) FILTER (severity = 'danger' AND NOT acknowledged) AS active FROM alerts),
-r AS (SELECT count(*) FILTER (severity IN ('danger', 'warning')) AS recent
-  FROM (SELECT severity FROM alerts ORDER BY ts DESC, id LIMIT 100))
+r AS (SELECT count(*) FILTER (severity IN ('danger', 'warning')) AS recent FROM alerts)
 SELECT n AS total_connections, n AS total_records, b AS total_bytes_analyzed, danger AS total_attacks_detected,
   active AS active_threats, {_PERCENT.format('n', 'attacks')} AS normal_percentage, recent AS total_alerts
 FROM t, p, a, r""",
@@ -319,8 +323,8 @@ t AS (SELECT count(*) AS n FROM traffic),
 p AS (SELECT count(*) FILTER ({_ATTACK}) AS attacks, count(*) AS all_predictions FROM predictions),
 a AS (SELECT count(*) FILTER (severity = 'danger') AS danger, count(*) AS all_alerts FROM alerts)
 SELECT n AS total_connections, danger AS total_attacks_detected,
-  {_PERCENT.format('n', 'attacks')} AS normal_percentage, least(all_alerts, 50) AS total_alerts,
-  least(all_predictions, 100) AS total_predictions FROM t, p, a""",
+  {_PERCENT.format('n', 'attacks')} AS normal_percentage, all_alerts AS total_alerts,
+  all_predictions AS total_predictions FROM t, p, a""",
     "traffic_buckets": _with(_BUCKETS) + "SELECT * FROM buckets",
     "traffic_bucket_totals": _with(_BUCKETS) + """SELECT CAST(sum(normal) AS BIGINT) AS normal,
   CAST(sum(suspicious) AS BIGINT) AS suspicious, CAST(sum(threats) AS BIGINT) AS threats FROM buckets""",

@@ -84,7 +84,7 @@ def flows_scan(t: Tables) -> DataFrame:
 
 @register
 def export_rows(t: Tables) -> DataFrame:
-    return RP.export_rows(t.alerts.drop("details"))
+    return RP.export_rows(t.alerts)
 
 
 # --- filters and projections ---
@@ -241,6 +241,11 @@ def active_connections(t: Tables) -> DataFrame:
     return CN.active_connections(FL.normalise_traffic(t.traffic_raw), t.blocklist, window="1 DAYS")
 
 
+@register
+def active_connections_all(t: Tables) -> DataFrame:
+    return CN.active_connections(FL.normalise_traffic(t.traffic_raw), t.blocklist, window="1 DAYS", limit=None)
+
+
 @register
 def flow_features(t: Tables) -> DataFrame:
     return CN.flow_features(t.packets)
@@ -258,22 +263,22 @@ def dashboard_stats(t: Tables) -> DataFrame:
 
 @register
 def threat_distribution(t: Tables) -> DataFrame:
-    return DB.threat_distribution(t.predictions)
+    return DB.threat_distribution(t.predictions, limit=100)
 
 
 @register
 def threat_distribution_all(t: Tables) -> DataFrame:
-    return DB.threat_distribution(t.predictions, limit=None)
+    return DB.threat_distribution(t.predictions)
 
 
 @register
 def attack_distribution(t: Tables) -> DataFrame:
-    return DB.attack_distribution(t.alerts)
+    return DB.attack_distribution(t.alerts, limit=100)
 
 
 @register
 def attack_distribution_all(t: Tables) -> DataFrame:
-    return DB.attack_distribution(t.alerts, limit=None)
+    return DB.attack_distribution(t.alerts)
 
 
 @register
@@ -436,9 +441,8 @@ def union_samples(t: Tables) -> DataFrame:
 @register
 def alerts_append(t: Tables) -> DataFrame:
     kind = F.col("event_type")
-    address = D.packets(t.events).select("packet_id", "src_ip")
-    new = t.events.join(address, F.col("event_id") == F.col("packet_id")).select(
-        (-1 - F.col("event_id")).alias("id"), "ts",
+    new = t.packets.select(
+        (-1 - F.col("packet_id")).alias("id"), "ts",
         F.when(kind == "error", "danger").when(kind == "view", "warning").alias("severity"),
         F.when(kind == "error", F.concat(F.lit('{"traffic":{"src_ip":"'), "src_ip", F.lit('"}}')))
          .alias("details"))

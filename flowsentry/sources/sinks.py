@@ -10,9 +10,6 @@ from flowsentry.operators.toplists import latest
 
 _NESTED = (T.StructType, T.MapType, T.ArrayType)
 
-# How many of the newest rows of each table a snapshot keeps when it is loaded.
-SNAPSHOT_BOUNDS = {"alerts": 100, "traffic_records": 1000, "predictions": 1000}
-
 
 def _flat(df: DataFrame) -> DataFrame:
     """CSV cannot hold nested columns, so they become JSON text."""
@@ -51,12 +48,11 @@ def save_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
 
 def load_snapshot(spark: SparkSession, folder: str, schemas: dict[str, T.StructType],
                   bounds: dict[str, int] | None = None, ts: str = "ts") -> dict[str, DataFrame]:
-    """Tables of a snapshot, each cut to its newest rows. A bound of 0 keeps all."""
-    bounds = SNAPSHOT_BOUNDS if bounds is None else bounds
+    """Tables of a snapshot. `bounds` cuts those that it names to their newest rows; 0 keeps all."""
     loaded = {}
     for name, schema in schemas.items():
         df = spark.read.schema(schema).json(f"{folder}/{name}")
-        bound = bounds.get(name, 0)
+        bound = (bounds or {}).get(name, 0)
         loaded[name] = latest(df, bound, ts, tie=schema.fieldNames()[0]) if bound else df
     return loaded
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowsentry.ml.persist import exists
+
 ONCE = {"availableNow": True}
 
 
@@ -39,10 +40,9 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], fold
 
 def _newest_base(spark: SparkSession, folder: str) -> tuple[DataFrame | None, int]:
     """The latest compacted rows and the batch they reach up to; none and -1 before any compaction."""
-    try:
-        bases = spark.read.parquet(f"{folder}/base")
-    except AnalysisException:
+    if not exists(spark, f"{folder}/base"):
         return None, -1
+    bases = spark.read.parquet(f"{folder}/base")
     upto = bases.agg(F.max("upto")).first()[0]
     return bases.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id"), upto
 

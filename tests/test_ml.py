@@ -106,7 +106,11 @@ def test_saved_detectors_give_the_same_labels(spark, split, models, tmp_path):
         ours = score(models[detector], split, detector).select(*D.FLOW_ROW_KEY, detector)
         theirs = score(loaded, split, detector).select(*D.FLOW_ROW_KEY, detector)
         assert ours.exceptAll(theirs).count() == 0
-    assert set(MP.load_detectors(spark, str(tmp_path))) == {"random_forest", "svm"}
+    gone = []
+    assert set(MP.load_detectors(spark, str(tmp_path), missing=gone)) == {"random_forest", "svm"}
+    assert gone == ["xgboost", "cnn"]
+    with pytest.raises(Exception):
+        MP.load_detectors(spark, str(tmp_path))
 
 
 def test_importances(spark, models):
@@ -125,7 +129,7 @@ def test_scaling_uses_the_population_deviation(spark):
 def test_train_save_and_predict(spark, flows, tmp_path):
     results = train_and_save(flows, D.FLOW_ROW_KEY, str(tmp_path), ["random_forest"], TINY)
     assert results["random_forest"]["val_accuracy"] > 0.5
-    models = MP.load_detectors(spark, str(tmp_path))
+    models = MP.load_detectors(spark, str(tmp_path), ["random_forest"])
     packets = D.packets(table(spark, FOLDER, "events"))
     fresh = flow_features(packets)
     got = predict_flows(fresh.withColumn("port", F.col("DstPort")), models, ["port"])

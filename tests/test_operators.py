@@ -132,15 +132,6 @@ def test_active_connections(make):
     assert len(CN.active_connections(df, blocked, as_of="2024-01-01 00:05:00", limit=1).collect()) == 1
 
 
-def test_join_is_the_same_with_and_without_broadcast(make, monkeypatch):
-    big = make([(i % 5, i) for i in range(100)], "k int, v int")
-    small = make([(1, "x"), (2, "y")], "k int, w string")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        near = rows(JN.join_bounded(big, small, "k", how), "k", "v")
-        far = rows(JN.join_bounded(big, small, "k", how, max_rows=1), "k", "v")
-        assert near == far
-
-
 def test_timeline_when_either_side_is_longer(make):
     traffic = make([(i, f"2024-01-01 00:00:{i:02d}", i * 10) for i in range(4)], "record_id long, ts string, bytes long")
     few = make([(i, f"2024-01-01 00:00:{i:02d}", label) for i, label in enumerate(["Normal", "DoS"])],
