@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.ml.anomaly import AnomalyDetector
 from flowsentry.schemas import DETECTORS
+from flowsentry.sources.files import exists
 
 
 def _write_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -33,12 +34,6 @@ def load_detector(spark: SparkSession, folder: str, detector: str) -> tuple[Pipe
             _read_json(spark, f"{folder}/{detector}/metadata"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, in whatever store the path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def load_detectors(spark: SparkSession, folder: str, detectors: list[str] = DETECTORS,
                    missing: list[str] | None = None) -> dict[str, PipelineModel]:
     """The named detectors of a folder. One that isn't there is an error; with `missing` it has no vote and is added

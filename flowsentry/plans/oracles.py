@@ -450,8 +450,8 @@ SELECT window_start, {_KEY5}, count(*) AS packet_count, CAST(sum(bytes) AS BIGIN
 FROM w GROUP BY window_start, {_KEY5}""",
     "stream_sessions": _session_sql(_SIX_HOURS * 1_000_000).rsplit("SELECT src_ip, min(ts)", 1)[0] + f"""
 SELECT src_ip, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS packets,
-  CAST(sum(packet_size) AS BIGINT) AS bytes FROM n GROUP BY src_ip, session
-HAVING max(ts) + INTERVAL 6 HOUR <= {_NEWEST} - INTERVAL 10 MINUTE""",
+  CAST(sum(packet_size) AS BIGINT) AS bytes, max(ts) + INTERVAL 6 HOUR > {_NEWEST} - INTERVAL 10 MINUTE AS is_open
+FROM n GROUP BY src_ip, session""",
     "stream_notify": _with(ALERTS) + "SELECT * FROM alerts WHERE severity = 'danger'",
     "stream_alerts": ORACLES["alerts_from_stream"],
     "stream_blocklist": _with(PREDICTIONS) + """SELECT DISTINCT source_ip AS ip FROM predictions

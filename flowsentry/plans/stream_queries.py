@@ -8,46 +8,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions import labels as L
+from flowsentry.operators.alerts import alerts_from_stream
+from flowsentry.operators.blocklist import auto_blocklist
 from flowsentry.plans.registry import Tables, register, stream_scored
-from flowsentry.session import shared_dir
+from flowsentry.schemas import CONNECTION_KEY
+from flowsentry.session import checkpointed, shared_dir
 from flowsentry.sources import derived as D
+from flowsentry.sources.files import is_folder, remove
 from flowsentry.streaming import jobs, sinks
 
 
 def _events(t: Tables) -> DataFrame:
-    schema = t.events.schema
-    return (t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-            .parquet(t.folder))
+    """The event table as a stream, whether it is one file or a folder of part files."""
+    reader, path = t.spark.readStream.schema(t.events.schema), f"{t.folder}/events.parquet"
+    if is_folder(t.spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
 
 def _folder(t: Tables, name: str) -> str:
     return f"{shared_dir(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _settled(t: Tables, folder: str, rows: DataFrame) -> DataFrame:
+    """The result of a drained stream, kept apart from its files and state, which are removed."""
+    kept = checkpointed(rows)
+    remove(t.spark, folder)
+    return kept
+
+
 def _kept(t: Tables, stream: DataFrame, name: str, key: list[str]) -> DataFrame:
     folder = _folder(t, name)
     sinks.keep_updates(stream, folder).awaitTermination()
-    return sinks.current_rows(t.spark, folder, key)
+    return _settled(t, folder, sinks.current_rows(t.spark, folder, key, stream.schema))
 
 
 def _appended(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     folder = _folder(t, name)
     sinks.append_files(stream, folder).awaitTermination()
-    return sinks.appended_rows(t.spark, folder)
+    return _settled(t, folder, sinks.appended_rows(t.spark, folder, stream.schema))
 
 
 @register
 def stream_capture(t: Tables) -> DataFrame:
-    folder = _folder(t, "capture")
-    jobs.capture(D.packets(_events(t)), folder).awaitTermination()
-    return sinks.appended_rows(t.spark, folder)
+    folder, packets = _folder(t, "capture"), D.packets(_events(t))
+    jobs.capture(packets, folder).awaitTermination()
+    return _settled(t, folder, sinks.appended_rows(t.spark, folder, packets.schema))
 
 
 @register
 def stream_connections(t: Tables) -> DataFrame:
-    folder = _folder(t, "connections")
-    jobs.running_connections(D.packets(_events(t)), folder).awaitTermination()
-    return sinks.current_rows(t.spark, folder, ["src_ip", "src_port", "dst_ip", "dst_port"])
+    folder, packets = _folder(t, "connections"), D.packets(_events(t))
+    jobs.running_connections(packets, folder).awaitTermination()
+    spans = sinks.current_rows(t.spark, folder, ["span_start", *CONNECTION_KEY], jobs.connection_spans(packets).schema)
+    return _settled(t, folder, jobs.connections_so_far(spans))
 
 
 @register
@@ -65,7 +79,9 @@ def stream_active(t: Tables) -> DataFrame:
 
 @register
 def stream_sessions(t: Tables) -> DataFrame:
-    return _appended(t, jobs.closed_sessions(D.packets(_events(t)), "6 hours"), "sessions")
+    closed = _appended(t, jobs.closed_sessions(D.packets(_events(t)), "6 hours"), "sessions")
+    still_open = jobs.open_sessions(t.packets, closed, 6 * 3600)
+    return closed.withColumn("is_open", F.lit(False)).unionByName(still_open.withColumn("is_open", F.lit(True)))
 
 
 @register
@@ -74,19 +90,23 @@ def stream_notify(t: Tables) -> DataFrame:
     return _appended(t, jobs.new_danger_alerts(alerts), "notify")
 
 
-def _alerting(t: Tables) -> str:
+def _alerting(t: Tables, part: str) -> DataFrame:
+    """One of the two tables that the alerting job leaves behind."""
+    def scored(batch: DataFrame) -> DataFrame:
+        return stream_scored(D.predictions(batch))
+
     folder = _folder(t, "alerting")
-    query = jobs.alerting(_events(t), lambda batch: stream_scored(D.predictions(batch)), folder,
-                          ["id", "ts"])
-    query.awaitTermination()
-    return folder
+    jobs.alerting(_events(t), scored, folder, ["id", "ts"]).awaitTermination()
+    shape = alerts_from_stream(scored(t.events.limit(0)), ["id", "ts"])
+    schema = (shape if part == "alerts" else auto_blocklist(shape)).schema
+    return _settled(t, folder, sinks.appended_rows(t.spark, f"{folder}/{part}", schema).drop("batch_id"))
 
 
 @register
 def stream_alerts(t: Tables) -> DataFrame:
-    return sinks.appended_rows(t.spark, f"{_alerting(t)}/alerts").drop("batch_id")
+    return _alerting(t, "alerts")
 
 
 @register
 def stream_blocklist(t: Tables) -> DataFrame:
-    return sinks.appended_rows(t.spark, f"{_alerting(t)}/blocklist").select(F.col("ip")).distinct()
+    return _alerting(t, "blocklist").distinct()

@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from flowsentry.functions.labels import chart_class
 from flowsentry.operators.alerts import alerts_from_stream
 from flowsentry.operators.blocklist import auto_blocklist
-from flowsentry.operators.connections import connection_stats
+from flowsentry.operators.connections import connection_stats, sessions
 from flowsentry.operators.filters import captured
-from flowsentry.schemas import FLOW_KEY
+from flowsentry.operators.joins import keys_apart
+from flowsentry.schemas import CONNECTION_KEY, FLOW_KEY
 from flowsentry.streaming import sinks
 
 # Fixed value: how late a row may be before it is dropped.
@@ -41,9 +42,37 @@ def capture(packets: DataFrame, folder: str, trigger: dict | None = None) -> Str
     return sinks.append_files(captured(packets), folder, trigger)
 
 
-def running_connections(packets: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Packets, bytes, first and last time per connection, updated batch by batch."""
-    return sinks.keep_updates(connection_stats(packets), folder, trigger)
+def connection_spans(packets: DataFrame, span: str = "1 day", lateness: str = LATENESS) -> DataFrame:
+    """Packets, bytes, first and last time per connection and span of time. A span's state is given up once the
+    watermark has passed it, so state holds the connections of the newest spans only."""
+    counted = connection_stats(timed(packets, lateness), [F.window("ts", span).alias("span"), *CONNECTION_KEY])
+    flat = counted.select(F.col("span.start").alias("span_start"), *CONNECTION_KEY, "packet_count", "bytes",
+                          "first_seen", "last_seen")
+    return to_wall_clock(flat, "span_start", "first_seen", "last_seen")
+
+
+def running_connections(packets: DataFrame, folder: str, trigger: dict | None = None, span: str = "1 day",
+                        lateness: str = LATENESS) -> StreamingQuery:
+    """Connection spans, updated batch by batch; `connections_so_far` adds them up."""
+    return sinks.keep_updates(connection_spans(packets, span, lateness), folder, trigger)
+
+
+def connections_so_far(spans: DataFrame) -> DataFrame:
+    """Packets, bytes, first and last time per connection from the current rows of `running_connections`."""
+    return spans.groupBy(*CONNECTION_KEY).agg(
+        F.sum("packet_count").alias("packet_count"), F.sum("bytes").alias("bytes"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def open_sessions(packets: DataFrame, closed: DataFrame, gap_seconds: int) -> DataFrame:
+    """What `closed_sessions` of the same packets hasn't emitted: the sessions of each source's rows after its last
+    closed one. Both sides are plain tables."""
+    last = closed.groupBy("src_ip").agg(F.max("session_end").alias("_closed"))
+    rest, match, names = keys_apart(last, ["src_ip"])
+    rows = packets.join(rest, match, "left").filter(F.col("_closed").isNull() | (F.col("ts") >= F.col("_closed")))
+    gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
+    return sessions(rows.drop("_closed", *names), gap_seconds).select(
+        "src_ip", "session_start", (F.col("last_seen") + gap).alias("session_end"), "packets", "bytes")
 
 
 def threat_buckets(records: DataFrame, width: str = "10 seconds", level: str = "threat_level",

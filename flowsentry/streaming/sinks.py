@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flowsentry.ml.persist import exists
+from flowsentry.sources.files import exists
 
 ONCE = {"availableNow": True}
 
@@ -47,8 +48,11 @@ def _newest_base(spark: SparkSession, folder: str) -> tuple[DataFrame | None, in
     return bases.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id"), upto
 
 
-def current_rows(spark: SparkSession, folder: str, key: list[str]) -> DataFrame:
-    """The newest version of every key, from the latest compacted rows and the updates since."""
+def current_rows(spark: SparkSession, folder: str, key: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """The newest version of every key, from the latest compacted rows and the updates since. With the rows' schema,
+    a stream that hasn't had a batch yet gives an empty table."""
+    if schema and not exists(spark, f"{folder}/data"):
+        return spark.createDataFrame([], schema)
     base, upto = _newest_base(spark, folder)
     updates = spark.read.parquet(f"{folder}/data").filter(F.col("batch_id") > upto)
     versions = updates if base is None else base.unionByName(updates)
@@ -65,5 +69,10 @@ def compact(spark: SparkSession, folder: str, key: list[str]) -> int:
     return newest
 
 
-def appended_rows(spark: SparkSession, folder: str) -> DataFrame:
+def appended_rows(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """All appended rows. With their schema, a stream that hasn't written anything gives an empty table."""
+    if schema:
+        if not exists(spark, f"{folder}/data"):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{folder}/data")
     return spark.read.parquet(f"{folder}/data")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators.connections import connection_stats
 from flowsentry.operators.filters import captured
+from flowsentry.plans import QUERIES
 from flowsentry.sources.tables import packet_stream
 from flowsentry.schemas import PACKET
 from flowsentry.streaming import jobs, sinks
@@ -52,7 +53,8 @@ def test_running_connections_equal_the_batch(spark, tmp_path, arriving):
     stream = arriving(times(0, 5), times(7, src="b", start=10), times(20, 21, 22, start=20))
     query = finish(jobs.running_connections(stream, str(tmp_path / "out")))
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
-    got = sinks.current_rows(spark, str(tmp_path / "out"), KEY).orderBy("src_ip").collect()
+    spans = sinks.current_rows(spark, str(tmp_path / "out"), ["span_start", *KEY])
+    got = jobs.connections_so_far(spans).orderBy("src_ip").collect()
     batch = spark.read.schema(PACKET).parquet(str(tmp_path / "in"))
     assert got == connection_stats(batch).select(got[0].__fields__).orderBy("src_ip").collect()
 
@@ -125,3 +127,27 @@ def test_compacted_rows_and_later_updates_agree(spark, tmp_path):
     assert sinks.compact(spark, out, ["k"]) == 2
     batch(3, ("a", 9))
     assert current() == {"a": 9, "b": 5, "c": 7}
+
+
+STREAMS = [name for name in QUERIES if name.startswith("stream_")]
+
+
+@pytest.fixture(scope="module")
+def parted(spark, tmp_path_factory):
+    """The event table as a folder of several part files."""
+    folder = str(tmp_path_factory.mktemp("parted"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_read_folders_of_files_too(spark, parted, name):
+    one, many = QUERIES[name](spark, "/root/testdata/sf0.001"), QUERIES[name](spark, parted)
+    many = many.select(one.columns)
+    assert one.count() > 0 and one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_empty_streams_give_empty_tables(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    for name in STREAMS:
+        assert QUERIES[name](spark, str(tmp_path)).count() == 0, name
