@@ -58,9 +58,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# Shuffle files are of no more use once what they led to is on shared storage.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` on shared storage, so that row positions survive the loss of an executor."""
+    """Materialise `df` on shared storage, so that row positions survive the loss of an executor. The shuffle
+    files written on the way are removed at once."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
