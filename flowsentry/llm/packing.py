@@ -1,8 +1,8 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills every window to target token shares.
 
 Each task keeps one queue of tokenised documents per source. A window gives every source its share of the capacity as
-credit and then serves the queue with the most credit until the window is full, cutting documents freely; what a
-source got too little or too much stays as credit or debt for later windows. When a task runs out of documents, its
+credit; each source then has one turn to spend it, cutting documents freely, and where short queues leave room the
+source with the most credit goes into debt. What a source got too little or too much stays for later windows. When a task runs out of documents, its
 short queues and their credit move on to a second round, in which one task serves the rest of many first-round
 tasks, so only one window of each of those groups is not full.
 
@@ -32,7 +32,7 @@ CAPACITY, CLOSING_ID = 4096, 2
 QUEUES = 65536
 # Windows' worth of tokens that wait in a task, so that a source has documents when its turn comes.
 WAITING = 8
-# A turn serves at least so many ids, so that a rare source isn't cut into slivers.
+# Credit that a turn takes: a rarer source saves it up over windows and isn't cut into slivers.
 TURN = 64
 # First-round tasks whose rests meet in one second-round task: at most GATHERED * WAITING windows of tokens.
 GATHERED = 32
@@ -58,26 +58,40 @@ class Mixer:
         self.credit[queue] = self.credit.get(queue, 0.0) + credit
 
     def window(self) -> Iterator[tuple]:
-        """Fill one window."""
+        """Fill one window: every source with credit has one turn, then the one with most credit fills what is left."""
         known = sum(self.shares.get(q, 0.0) for q in self.queues) or 1.0
         for q in self.queues:
             due = self.credit.get(q, 0.0) + self.capacity * self.shares.get(q, 0.0) / known
             # a source that had nothing to send for long doesn't flood the following windows
             self.credit[q] = min(due, float(self.capacity))
         filled = 0
+        for q in sorted(self.queues, key=self.credit.__getitem__, reverse=True):
+            turn = int(self.credit[q])
+            if turn < TURN:
+                break
+            for piece in self._serve(q, min(turn, self.capacity - filled)):
+                yield *piece, self.windows, filled
+                filled += len(piece[2])
         while filled < self.capacity and self.queues:
-            q = max(self.queues, key=self.credit.__getitem__)
-            document, start, ids, total, source = self.queues[q].popleft()
-            take = min(len(ids), self.capacity - filled, max(TURN, int(self.credit[q])))
-            yield document, start, ids[:take], total, source, self.windows, filled
+            for piece in self._serve(max(self.queues, key=self.credit.__getitem__), self.capacity - filled):
+                yield *piece, self.windows, filled
+                filled += len(piece[2])
+        self.windows += 1
+
+    def _serve(self, q: int, ids_left: int) -> Iterator[tuple]:
+        """Up to so many ids from the front of a queue; the last document is cut."""
+        queue = self.queues[q]
+        while ids_left and queue:
+            document, start, ids, total, source = queue.popleft()
+            take = min(len(ids), ids_left)
             if take < len(ids):
-                self.queues[q].appendleft((document, start + take, ids[take:], total, source))
-            elif not self.queues[q]:
-                del self.queues[q]
+                queue.appendleft((document, start + take, ids[take:], total, source))
             self.credit[q] -= take
             self.waiting -= take
-            filled += take
-        self.windows += 1
+            ids_left -= take
+            yield document, start, ids[:take], total, source
+        if not queue:
+            del self.queues[q]
 
     def drain(self, waiting: int) -> Iterator[tuple]:
         """Fill windows while more than `waiting` ids wait."""

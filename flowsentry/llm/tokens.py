@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 
 # Words whose ids a task keeps between batches.
 REMEMBERED = 400_000
 
+# Letters with signs after them: two pre-tokens whatever the letters are. Words with an apostrophe (contractions) or
+# with the signs of special tokens are left to the whole tokenizer.
+_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:;=?@\[-`{}~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others
+    numbered from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
+
 
 class Encoder:
     """Ids by a tokenizer file whose pre-tokenizer never joins text across a space or line end.
@@ -22,6 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[bytes, np.ndarray] = {}
 
     def encode(self, texts: list[str], closing: int | None = None) -> list[np.ndarray]:
@@ -58,13 +74,28 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [w for w in words if w not in known]
-        plain = [w for w in new if w.isalpha()]  # ASCII letters: one pre-token, changed by lower-casing alone
-        model = self.tokenizer.model
-        for w in plain:
-            known[w] = np.array([t.id for t in model.tokenize(w.lower().decode())], np.uint32)
-        other = [w for w in new if w not in known]
+        other = []
+        for w in words:
+            if w not in known:
+                ids = self._plain(w.decode("utf-8"))
+                if ids is None:
+                    other.append(w)
+                else:
+                    known[w] = ids
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other],
                                                                 add_special_tokens=False)):
             known[w] = np.array(e.ids, np.uint32)
         return [known[w] for w in words]
+
+    def _plain(self, word: str) -> np.ndarray | None:
+        """Ids of letters and signs straight from the model; None for a word that needs the whole tokenizer."""
+        found = _PLAIN.fullmatch(word)
+        if not found or not (word.isascii() or found[1].lower().isalpha() and "\u03a3" not in word
+                             and unicodedata.is_normalized("NFC", word)):
+            return None
+        ids = []
+        for part in found.groups():
+            if part:
+                shown = part.lower().encode("utf-8").decode("latin-1").translate(self.letters)
+                ids.extend([t.id for t in self.model.tokenize(shown)])
+        return np.array(ids, np.uint32)
