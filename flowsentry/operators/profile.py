@@ -71,6 +71,24 @@ def plain_split(df: DataFrame, key: list[str], train: float = 0.8, seed: int = 4
     return df.withColumn("split", F.when(draw < int(train * 10_000), "train").otherwise("test"))
 
 
+def bounded_sample(df: DataFrame, label: str, key: list[str], rows: int, least: int = 200) -> DataFrame:
+    """About `rows` rows, every class in its proportion but with at least `least` rows or all it has.
+
+    Whether a row is in depends on the hash of its key alone, so the choice stays the same when a lost
+    partition is computed again.
+    """
+    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    total = sum(sizes.values())
+    if not rows or total <= rows:
+        return df
+    draw = F.pmod(F.xxhash64(F.lit(7), *key), F.lit(1 << 30)) / (1 << 30)
+    share = F.lit(rows / total)
+    for name, size in sizes.items():
+        if size * rows / total < least:
+            share = F.when(F.col(label).eqNullSafe(F.lit(name)), F.lit(min(1.0, least / size))).otherwise(share)
+    return df.filter(draw < share)
+
+
 def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int) -> DataFrame:
     """Fold number from 0 for every row, spread evenly inside each class."""
     numbered = rank_in_group(df, [label], [F.col(k) for k in key], "_rank")

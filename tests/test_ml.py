@@ -174,3 +174,47 @@ def test_reconstruction_error_is_the_plain_one(spark):
     _, _, axes = np.linalg.svd(z, full_matrices=False)
     expected = ((z - z @ axes[:2].T @ axes[:2]) ** 2).mean(1)
     assert got == pytest.approx(expected.tolist(), rel=1e-6)
+
+
+def test_grid_search_covers_the_grid_and_marks_the_best(split):
+    from flowsentry.ml import tuning as MT
+
+    train = split.filter("split = 'train'").select(*FLOW_FEATURES, FLOW_LABEL)
+    assert MT.GRID == {"numTrees": [100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]}
+    table_, best = MT.grid_search(train, {"numTrees": [2, 4], "maxDepth": [2, 6], "minInstancesPerNode": [1]}, folds=2)
+    found = table_.collect()
+    assert len(found) == 4 and sum(r.is_best for r in found) == 1
+    top = max(found, key=lambda r: r.f1_mean)
+    assert top.is_best and best == {n: top[n] for n in best} and all(0 < r.f1_mean <= 1 and r.f1_std >= 0 for r in found)
+
+
+def test_cross_validation_leaves_each_fold_out_once(flows):
+    from flowsentry.ml import tuning as MT
+    from flowsentry.operators.profile import stratified_folds
+
+    rows = feature_matrix(flows, keep=[*D.FLOW_ROW_KEY, FLOW_LABEL])
+    found = MT.cross_validated_f1(stratified_folds(rows, FLOW_LABEL, D.FLOW_ROW_KEY, 3), 3, TINY).first()
+    assert 0.6 < found.f1_mean <= 1 and 0 <= found.f1_std < 0.2
+
+
+def test_bounded_samples_keep_every_class(spark):
+    from flowsentry.operators.profile import bounded_sample
+
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id < 50 THEN 'rare' WHEN id % 4 = 0 THEN NULL ELSE 'b' END AS y")
+    got = {r.y: r["count"] for r in bounded_sample(df, "y", ["id"], 2_000).groupBy("y").count().collect()}
+    assert got["rare"] == 50 and 400 < got[None] < 600 and 1300 < got["b"] < 1700
+    assert bounded_sample(df, "y", ["id"], 0).count() == bounded_sample(df, "y", ["id"], 20_000).count() == 20_000
+    assert bounded_sample(df, "y", ["id"], 2_000).exceptAll(bounded_sample(df.repartition(3), "y", ["id"], 2_000)).count() == 0
+
+
+def test_failures_are_raised_or_named(split, monkeypatch):
+    from flowsentry.plans import detection
+
+    def broken(*_):
+        raise ValueError("no")
+
+    monkeypatch.setattr(detection, "fit_detector", broken)
+    with pytest.raises(ValueError):
+        train_detectors(split, ["svm"], TINY)
+    missing = {}
+    assert train_detectors(split, ["svm"], TINY, missing) == {} and "no" in str(missing["svm"])
