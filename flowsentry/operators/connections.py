@@ -56,8 +56,8 @@ def active_connections(traffic: DataFrame, blocklist: DataFrame, window: str = "
     return with_status(grouped, blocklist).orderBy(*order)
 
 
-def flow_features(packets: DataFrame, tie: str = "packet_id") -> DataFrame:
-    """The 19 flow features of every flow in a batch of packets.
+def flow_features(packets: DataFrame, tie: str = "packet_id", last_seen: bool = False) -> DataFrame:
+    """The 19 flow features of every flow in a batch of packets; with `last_seen` also when its last packet came.
 
     PacketSize is the first packet's. Features raw packets cannot give are 0. MeanGapMs is added: the
     mean gap between packets needs only first time, last time and count.
@@ -82,7 +82,8 @@ def flow_features(packets: DataFrame, tie: str = "packet_id") -> DataFrame:
         zero.alias("BytesReceived"), (F.col("BytesSent") / F.col("FlowDuration")).alias("FlowRate"),
         F.col("FlowDuration").alias("ActiveTime"), none.alias("IdleTime"),
         F.when(F.col("NumPackets") > 1, F.col("_span") * 1000 / (F.col("NumPackets") - 1))
-         .otherwise(0.0).alias("MeanGapMs"))
+         .otherwise(0.0).alias("MeanGapMs"),
+        *([F.col("_end").alias("LastSeen")] if last_seen else []))
 
 
 def packet_gaps(packets: DataFrame, tie: str = "packet_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -17,8 +19,10 @@ from flowsentry.operators.blocklist import auto_blocklist, block
 from flowsentry.operators.connections import flow_features
 from flowsentry.operators.filters import captured
 from flowsentry.operators.joins import with_advice
+from flowsentry.operators.ordering import rank_rows
 from flowsentry.operators.profile import bounded_sample, stratified_split
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
+from flowsentry.session import checkpointed
 
 
 def training_frame(flows: DataFrame, key: list[str]) -> DataFrame:
@@ -77,16 +81,20 @@ def predict_flows(flows: DataFrame, models: dict[str, PipelineModel], keep: list
     return with_advice(ensemble_vote(scored, keep=[*keep, "source_ip"]), "prediction")
 
 
-def detect(packets: DataFrame, models: dict[str, PipelineModel],
+def detect(packets: DataFrame, predict: Callable[[DataFrame, list[str]], DataFrame],
            blocklist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From packets to predictions, alerts and the blocklist they lead to.
+    """From packets to predictions, numbered alerts and the blocklist they lead to.
 
-    Write the predictions out, or persist them, before using more than one of the three.
+    `predict` takes flows and the columns to keep and gives one prediction per flow, for example
+    `partial(predict_flows, models=...)`. Predictions and alerts are each computed once and kept on shared storage.
+    An alert carries the time of its flow's last packet and the next free number in that order.
     """
-    flows = flow_features(captured(packets))
+    flows = flow_features(captured(packets), last_seen=True)
     key = ["SrcIP", "DstIP", "SrcPort", "DstPort"]
-    named = flows.select("*", *[F.col(c).alias(f"flow_{c}") for c in key])
-    kept = [f"flow_{c}" for c in key]
-    predictions = predict_flows(named, models, kept)
-    alerts = alerts_from_predictions(predictions, kept)
+    named = flows.select("*", *[F.col(c).alias(f"flow_{c}") for c in key], F.col("Protocol").alias("flow_Protocol"),
+                         F.col("LastSeen").alias("ts"))
+    kept = ["ts", *[f"flow_{c}" for c in key], "flow_Protocol"]
+    predictions = checkpointed(predict(named, kept))
+    raised = alerts_from_predictions(predictions, kept)
+    alerts = rank_rows(raised, [F.col(c).asc() for c in kept], "id")
     return predictions, alerts, block(blocklist, auto_blocklist(alerts), "ip")

@@ -439,6 +439,35 @@ SELECT label, (floor((prec) * 1e6 + 0.5) / 1e6) AS precision, (floor((rec) * 1e6
     "model_report": _metrics_sql(_MODEL_CELLS, "model"),
 }
 
+_RANK = "CASE {0} WHEN 'random_forest' THEN 1 WHEN 'svm' THEN 2 WHEN 'xgboost' THEN 3 ELSE 4 END"
+_DETECTED = PACKETS + f""", f AS (SELECT {_KEY5}, count(*) AS n, sum(packet_size) AS total,
+  arg_min(packet_size, (ts, packet_id)) AS first_size, max(ts) AS ts FROM packets WHERE {_CAPTURE} GROUP BY {_KEY5}),
+v AS (SELECT {_KEY5}, ts, unnest(['random_forest', 'svm', 'xgboost', 'cnn']) AS d,
+  unnest([CASE WHEN n >= 2 THEN 'DDoS' ELSE 'Normal' END, CASE WHEN total > 400 THEN 'DoS' ELSE 'Normal' END,
+    CASE WHEN dst_port % 2 = 0 THEN 'PortScan' ELSE 'Normal' END,
+    CASE WHEN n >= 2 OR first_size > 300 THEN CASE WHEN protocol = 'TCP' THEN 'DoS' END ELSE 'Normal' END]) AS label,
+  unnest([0.5::DOUBLE, 0.75::DOUBLE, 0.625::DOUBLE, 0.875::DOUBLE]) AS sure FROM f),
+c AS (SELECT {_KEY5}, ts, label, count(*) AS n, avg(sure) AS confidence, min({_RANK.format('d')}) AS place FROM v
+  WHERE label IS NOT NULL GROUP BY ALL),
+detected AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY {_KEY5} ORDER BY n DESC, place) = 1),
+raised AS (SELECT row_number() OVER (ORDER BY ts, src_ip, dst_ip, src_port, dst_port, protocol) AS id, *
+  FROM detected WHERE label <> 'Normal')"""
+_FLOW_COLUMNS = """ts, src_ip AS flow_SrcIP, dst_ip AS flow_DstIP, src_port AS flow_SrcPort, dst_port AS flow_DstPort,
+  protocol AS flow_Protocol"""
+_ADVICE_TEXT = "CASE label " + " ".join(
+    f"WHEN '{kind}' THEN '" + text.replace("'", "''") + "'" for kind, text in ADVICE.items()) + \
+    " ELSE '" + DEFAULT_ADVICE.replace("'", "''") + "' END"
+
+ORACLES |= {
+    "detect_predictions": _with(_DETECTED) + f"""SELECT {_FLOW_COLUMNS}, src_ip AS source_ip, label AS prediction,
+  CASE WHEN label = 'Normal' THEN 'SAFE' ELSE 'DANGER' END AS threat_level, confidence,
+  {_ADVICE_TEXT} AS protection_advice FROM detected""",
+    "detect_alerts": _with(_DETECTED) + f"""SELECT id, {_FLOW_COLUMNS}, label AS type, 'danger' AS severity,
+  src_ip AS source_ip FROM raised""",
+    "detect_blocklist": _with(_DETECTED, BLOCKED) + """
+SELECT ip FROM blocked UNION SELECT src_ip AS ip FROM raised""",
+}
+
 _SIX_HOURS = 6 * 3600
 
 ORACLES |= {

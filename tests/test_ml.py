@@ -218,3 +218,18 @@ def test_failures_are_raised_or_named(split, monkeypatch):
         train_detectors(split, ["svm"], TINY)
     missing = {}
     assert train_detectors(split, ["svm"], TINY, missing) == {} and "no" in str(missing["svm"])
+
+
+def test_detection_with_fitted_models_from_packets_to_blocklist(spark, models):
+    from functools import partial
+
+    from flowsentry.plans.detection import detect
+
+    packets = D.packets(table(spark, FOLDER, "events"))
+    blocked = spark.createDataFrame([("9.9.9.9",)], "ip string")
+    predictions, alerts, listed = detect(packets, partial(lambda flows, keep, models: predict_flows(flows, models, keep),
+                                                          models=models), blocked)
+    danger = predictions.filter("threat_level = 'DANGER'").count()
+    assert predictions.count() > danger and alerts.count() == danger
+    assert sorted(r.id for r in alerts.collect()) == list(range(1, danger + 1))
+    assert {r.ip for r in listed.collect()} == {"9.9.9.9"} | {r.source_ip for r in alerts.collect()}
