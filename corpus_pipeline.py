@@ -5,7 +5,7 @@ is written as Parquet and read again for the next stage. All but the last return
 
 Defined results: null and empty texts are judged and packed like others. Labels teach the two classifiers from the
 whole documents table of sf_dir, whatever rows the stage gets; held-out rows teach nothing. Of a class of near copies
-the row with the smallest id stays (of several such rows one). A document of which decontamination leaves no word is
+the row with the smallest id stays (of several such rows one; rows without an id only if no other is there). A document of which decontamination leaves no word is
 dropped, one that it cuts gets its new length as n_chars. Empty tables pass through.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.llm.decontaminate import remove_hits
-from flowsentry.llm.nearcopies import near_copies
+from flowsentry.llm.nearcopies import near_copies, text_key
 from flowsentry.llm.packing import pack
 from flowsentry.llm.quality import fit_quality, keep_good
 from flowsentry.llm.queries import TOKENIZER, read
@@ -38,8 +38,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    kept = near_copies(docs).groupBy("class_id").agg(F.lit(1).alias("one")).select(F.col("class_id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    no_id = F.col("doc_id").isNull()
+    best = F.min(F.struct(no_id.alias("without"), F.col("doc_id").alias("id"), F.col("text_key").alias("own")))
+    kept = near_copies(docs, keys=True).groupBy("class_key").agg(best.alias("best")) \
+        .select("best.own", "best.without", F.coalesce("best.id", F.lit(0)).alias("place"))
+    rows = docs.withColumns({"own": text_key("text"), "without": no_id, "place": F.coalesce("doc_id", F.lit(0))})
+    key = ["own", "without", "place"]
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

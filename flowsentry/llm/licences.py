@@ -47,8 +47,11 @@ TEMPLATES = [
 ]
 
 
+BETWEEN = "[^a-z0-9]+"
+
+
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda t: t != "")
 
 
 def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
@@ -64,7 +67,7 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     words = sorted({r["term"] for r in wanted})
 
     # over all files: how many have each template term (at most one number per term and task)
-    held = F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, words)))
+    held = F.array_intersect(F.split(F.lower("text"), BETWEEN), F.array(*map(F.lit, words)))
     counted = rows.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")) \
         .groupBy("term").agg(F.count("*").alias("files")).collect()
     files_with = {r["term"]: r["files"] for r in counted}

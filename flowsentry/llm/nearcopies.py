@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,8 +64,11 @@ def counted_shingles(texts, words: int = WORDS) -> list[list[int]]:
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS,
-                similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: its id, the id of its class (the smallest in it) and of its equal-text group."""
+                similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keys: bool = False) -> DataFrame:
+    """One row per input row: its id, the id of its class (the smallest in it) and of its equal-text group.
+
+    With `keys` also the text's own key (`text_key`) and its class's, which rows without an id have too.
+    """
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     keyed = texts.withColumn("key", F.unhex(F.md5("text")))
     id_kind = texts.schema["id"].dataType
@@ -107,9 +110,15 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     named = nodes.select("key", "copy_of").join(classes.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    named = named.join(ids, "component").select("key", "copy_of", "class_id")
+    named = named.join(ids, "component").select("key", "copy_of", "class_id", "component")
+    extra = [F.hex("key").alias("text_key"), F.hex("component").alias("class_key")] if keys else []
     return sketched.select("id", "key").join(named, "key") \
-        .select(F.col("id").alias(id_column), "class_id", "copy_of")
+        .select(F.col("id").alias(id_column), "class_id", "copy_of", *extra)
+
+
+def text_key(text_column: str) -> Column:
+    """The key of a text in the results of `near_copies`."""
+    return F.upper(F.md5(F.coalesce(text_column, F.lit(""))))
 
 
 def _bags_of(keyed: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -150,10 +159,10 @@ def _unsettled(active: DataFrame, compared: DataFrame, classes: DataFrame, simil
 
 
 def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
-    """(item, key, size, left): each node's rarest items, so many that nodes with a link have one in common.
+    """(item, key, size, own, left): each node's rarest items, so many that nodes with a link have one in common.
 
-    Items that no other node holds can't be shared; a node with too many of them has no link and drops out. `left` is
-    how many of the node's shareable items come after this one.
+    Items that no other node holds can't be shared; a node with too many of them has no link and drops out. `own` is
+    how many items no other node holds, `left` how many of the shareable ones come after this one.
     """
     items = bags.select("key", F.size("items").alias("size"), F.explode("items").alias("item"))
     common = items.groupBy("item").agg(F.count("*").alias("holders")).filter("holders > 1")
@@ -162,7 +171,8 @@ def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
     need = F.ceil(F.col("size") * F.lit(similarity) - 1e-9)
     return ranked.filter(F.size("items") >= need).select("key", "size", F.size("items").alias("common"), F.posexplode(
         F.slice("items", F.lit(1), (F.size("items") - need + 1).cast("int"))).alias("place", "x")).select(
-        "x.item", "key", "size", (F.col("common") - 1 - F.col("place")).alias("left"))
+        "x.item", "key", "size", (F.col("size") - F.col("common")).alias("own"),
+        (F.col("common") - 1 - F.col("place")).alias("left"))
 
 
 def _across(rare: DataFrame, classes: DataFrame, hubs: int | None, similarity: float) -> DataFrame:
@@ -174,9 +184,11 @@ def _across(rare: DataFrame, classes: DataFrame, hubs: int | None, similarity: f
     named = named.join(open_items, "item", "left_semi")
     centre = named
     if hubs:
-        # the smallest few of each item, a share of them at a time
+        # The few nodes of each item with the fewest items of their own, a share of them at a time. They stand in the
+        # middle of a crowd of edited copies: the others have their links to them, if they have any.
         part = named.withColumn("share", F.crc32("key") % 64)
-        least = part.groupBy("item", "share").agg(F.min(F.struct("key", "size", "left", "component")).alias("row"))
+        least = part.groupBy("item", "share").agg(
+            F.min(F.struct("own", "key", "size", "left", "component")).alias("row"))
         least = least.groupBy("item").agg(F.slice(F.array_sort(F.collect_list("row")), 1, hubs).alias("rows"))
         centre = least.select("item", F.explode("rows").alias("row")).select("item", "row.*")
     centre = centre.select("item", F.col("key").alias("hub"), F.col("size").alias("hub_size"),
