@@ -30,12 +30,13 @@ from flowsentry.session import checkpointed
 
 CAPACITY, CLOSING_ID = 4096, 2
 QUEUES = 65536
-# Windows' worth of tokens that wait in a task, so that a source has documents when its turn comes.
-WAITING = 8
+# Windows' worth of tokens that wait in a task (4 MB), so that every source has documents when its turn comes, even
+# behind long documents of rare sources.
+WAITING = 256
 # Credit that a turn takes: a rarer source saves it up over windows and isn't cut into slivers.
 TURN = 64
 # First-round tasks whose rests meet in one second-round task: at most GATHERED * WAITING windows of tokens.
-GATHERED = 32
+GATHERED = 8
 
 PIECES = ("doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, source string, rest binary, credit double")
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
                 for document, source, own in zip(part.column("doc_id").to_pylist(),
                                                  part.column("source").to_pylist(), ids):
                     mixer.add(queue_of(source), source, document, 0, own, len(own))
-                    out.extend(_row(base, piece) for piece in mixer.drain(WAITING * capacity))
+                out.extend(_row(base, piece) for piece in mixer.drain(WAITING * capacity))
                 if out:
                     yield _batch(out, kind)
         out = [(document, start, len(ids), None, total, base, None, source, ids.astype("<u4").tobytes(), credit)
