@@ -10,10 +10,10 @@ from flowsentry.functions.clock import AsOf, micros
 from flowsentry.functions.text import count_entropy
 from flowsentry.functions.network import per_second
 from flowsentry.operators.blocklist import with_status
-from flowsentry.operators.filters import since
+from flowsentry.operators.filters import align_schema, since
 from flowsentry.operators.joins import keys_apart
 from flowsentry.operators.ordering import previous_in_group
-from flowsentry.schemas import CONNECTION_KEY, FLOW_KEY
+from flowsentry.schemas import CONNECTION_KEY, FLOW_KEY, SESSION_FEATURES
 
 MICROS = 1e6
 
@@ -102,8 +102,10 @@ def port_entropy(packets: DataFrame) -> DataFrame:
         count_entropy(F.col("_n"), F.sum("_n")).alias("entropy"))
 
 
-def session_features(packets: DataFrame, key: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
-    """Session statistics that packets can tell, under the session schema's column names.
+def session_features(packets: DataFrame, key: tuple[str, ...] = ("src_ip", "dst_ip"),
+                     kinds: dict[str, str] | None = None) -> DataFrame:
+    """Session statistics that packets can tell, under the session schema's column names; with `kinds` also how many
+    messages of the kind named for a column the session carried.
 
     Ports and packet sizes are counted per value before they meet in the session's row, so what is joined
     is one row per session on either side.
@@ -116,7 +118,8 @@ def session_features(packets: DataFrame, key: tuple[str, ...] = ("src_ip", "dst_
         F.min("ts").alias("_start"), F.max("ts").alias("_end"),
         F.count_distinct("dst_port").alias("unique_ports"),
         F.count_if(F.col("protocol") == "TCP").alias("_tcp"),
-        F.count_if(F.col("protocol") == "UDP").alias("_udp"))
+        F.count_if(F.col("protocol") == "UDP").alias("_udp"),
+        *[F.count_if(F.col("event_type") == kind).alias(name) for name, kind in (kinds or {}).items()])
     sizes = packets.groupBy(*key, "packet_size").agg(F.count("*").alias("_n"))
     spread = sizes.groupBy(*key).agg(count_entropy(F.col("_n"), F.sum("_n")).alias("entropy_packets"))
     seconds = (micros("_end") - micros("_start")) / MICROS
@@ -129,7 +132,13 @@ def session_features(packets: DataFrame, key: tuple[str, ...] = ("src_ip", "dst_
         per_second(F.col("total_bytes"), length).alias("bytes_per_second"),
         per_second(n, length).alias("packets_per_second"), "connection_duration", "unique_ports",
         (F.col("_tcp") / n).alias("protocol_ratio_tcp"), "entropy_packets",
-        (F.col("_udp") / n).alias("protocol_ratio_udp"), length.alias("session_length"))
+        (F.col("_udp") / n).alias("protocol_ratio_udp"), length.alias("session_length"), *(kinds or {}))
+
+
+def session_matrix(packets: DataFrame, kinds: dict[str, str],
+                   key: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
+    """The whole session row: every session column that packets can tell, the others 0."""
+    return align_schema(session_features(packets, key, kinds), SESSION_FEATURES, keep=list(key))
 
 
 def session_event_counts(packets: DataFrame, kinds: list[str], key: tuple[str, ...] = ("src_ip", "dst_ip"),

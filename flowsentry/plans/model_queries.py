@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from flowsentry.ml import anomaly as MA
 from flowsentry.ml import tuning as MT
 from flowsentry.ml.detectors import Settings, feature_importance, score, score_all
-from flowsentry.ml.features import feature_matrix
+from flowsentry.ml.features import assembler, feature_matrix
 from flowsentry.ml.vote import ensemble_vote
+from flowsentry.operators.filters import flow_to_session
 from flowsentry.operators.profile import bounded_sample, stratified_folds
 from flowsentry.plans.detection import train_detectors, training_frame
 from flowsentry.plans.registry import KEY, Tables, register
-from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
+from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL, SESSION_FEATURES
 
 # Rows the grid search fits on: 36 forests of up to 200 trees.
 GRID_ROWS = 2_000
@@ -125,3 +126,18 @@ def pca_anomaly(t: Tables) -> DataFrame:
 def encoded_features(t: Tables) -> DataFrame:
     rows, detector = _embedding_detector(t)
     return MA.encoded_features(detector, rows, ["vec_id", "label"])
+
+
+@register
+def session_anomaly(t: Tables) -> DataFrame:
+    """The anomaly detector on traffic: fitted on the session rows of normal flows, judging all of them, and whether
+    each verdict is what its score, the threshold and the formula of its confidence say."""
+    wide = flow_to_session(t.flows, keep=[*KEY, FLOW_LABEL])
+    rows = assembler(SESSION_FEATURES, "features").transform(
+        wide.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in SESSION_FEATURES}))
+    detector = MA.fit_anomaly_detector(rows.filter(F.col(FLOW_LABEL) == "Normal"))
+    found = MA.anomaly_verdicts(detector, rows, KEY)
+    over = F.col("anomaly_score") > F.col("threshold")
+    return found.select(
+        *KEY, (F.col("anomaly_score") >= 0).alias("has_score"), (F.col("is_anomaly") == over).alias("verdict_holds"),
+        F.col("confidence").between(0.0, 1.0).alias("confidence_in_range"))

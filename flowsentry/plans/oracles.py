@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsentry.schemas import ADVICE, DEFAULT_ADVICE, FLOW_FEATURES
+from flowsentry.schemas import ADVICE, DEFAULT_ADVICE, FLOW_FEATURES, SESSION_FEATURES
 
 _IP = "('10.0.' || (user_id // 256) || '.' || (user_id % 256))"
 _K = "CAST(props->>'$.k' AS INTEGER)"
@@ -468,6 +468,21 @@ ORACLES |= {
 SELECT ip FROM blocked UNION SELECT src_ip AS ip FROM raised""",
 }
 
+_TOLD = ["packet_count", "total_bytes", "avg_packet_size", "std_packet_size", "min_packet_size", "max_packet_size",
+         "bytes_per_second", "packets_per_second", "connection_duration", "unique_ports", "protocol_ratio_tcp",
+         "entropy_packets", "protocol_ratio_udp", "session_length"]
+_KINDS = {"vnc_commands": "purchase", "vnc_responses": "signup", "framebuffer_updates": "view", "key_events": "error",
+          "mouse_clicks": "click"}
+
+ORACLES |= {
+    "session_matrix": "SELECT src_ip, dst_ip, " + ", ".join(
+        c if c in _TOLD else f"{_KINDS[c]}_count AS {c}" if c in _KINDS else f"CAST(0 AS INTEGER) AS {c}"
+        for c in SESSION_FEATURES) + f""" FROM ({ORACLES['session_features']}) s
+  JOIN ({ORACLES['session_event_counts']}) e USING (src_ip, dst_ip)""",
+    "session_anomaly": _with(FLOWS) + f"""SELECT {_KEY}, TRUE AS has_score, TRUE AS verdict_holds,
+  TRUE AS confidence_in_range FROM flows""",
+}
+
 _SIX_HOURS = 6 * 3600
 
 ORACLES |= {

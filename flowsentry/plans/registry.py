@@ -358,6 +358,17 @@ def session_features(t: Tables) -> DataFrame:
     return rounded(CN.session_features(t.packets), "std_packet_size", "entropy_packets")
 
 
+# Which events stand for which messages of the session schema.
+SESSION_KINDS = {"vnc_commands": "purchase", "vnc_responses": "signup", "framebuffer_updates": "view",
+                 "key_events": "error", "mouse_clicks": "click"}
+
+
+@register
+def session_matrix(t: Tables) -> DataFrame:
+    wide = CN.session_matrix(t.packets, SESSION_KINDS)
+    return rounded(wide, "std_packet_size", "entropy_packets")
+
+
 @register
 def session_event_counts(t: Tables) -> DataFrame:
     return CN.session_event_counts(t.packets, EVENT_KINDS)
