@@ -32,10 +32,6 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros((ts if isinstance(ts, Column) else F.col(ts)).cast("timestamp"))
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(1e6)
-
-
 def iso_text(ts: Column | str) -> Column:
     """ISO-8601 text; the fraction is left out when it is zero."""
     text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

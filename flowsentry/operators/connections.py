@@ -12,7 +12,7 @@ from flowsentry.functions.network import per_second
 from flowsentry.operators.blocklist import with_status
 from flowsentry.operators.filters import align_schema, since
 from flowsentry.operators.joins import keys_apart
-from flowsentry.operators.ordering import previous_in_group
+from flowsentry.operators.ordering import previous_time
 from flowsentry.schemas import CONNECTION_KEY, FLOW_KEY, SESSION_FEATURES
 
 MICROS = 1e6
@@ -89,7 +89,7 @@ def flow_features(packets: DataFrame, tie: str = "packet_id", last_seen: bool =
 def packet_gaps(packets: DataFrame, tie: str = "packet_id") -> DataFrame:
     """Milliseconds since the previous packet of the same flow, 0 for its first packet."""
     timed = packets.select(*FLOW_KEY, "ts", tie)
-    follows = previous_in_group(timed, FLOW_KEY, ["ts", tie], "ts", "_previous")
+    follows = previous_time(timed, FLOW_KEY, tie, name="_previous")
     gap = (micros("ts") - micros("_previous")) / 1000
     return follows.select(tie, *FLOW_KEY, "ts", F.coalesce(gap, F.lit(0.0)).alias("gap_ms"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowsentry.functions.clock import AsOf, as_of_column, parse_iso
 from flowsentry.functions.labels import severity_rank
@@ -66,10 +65,6 @@ def align_schema(df: DataFrame, columns: list[str] = FLOW_FEATURES,
                      *[F.col(c) if c in present else F.lit(0).alias(c) for c in columns])
 
 
-def numeric_only(df: DataFrame) -> DataFrame:
-    return df.select(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)])
-
-
 def normalise_traffic(raw: DataFrame, keep_untimed: bool = False) -> DataFrame:
     """One spelling per field, default protocol, counted bytes; rows with neither address are dropped,
     and so are rows whose timestamp is missing or malformed."""

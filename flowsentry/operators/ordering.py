@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowsentry.functions.clock import micros
 from flowsentry.operators.joins import keys_apart
 from flowsentry.session import checkpointed
 
@@ -44,30 +45,39 @@ def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
                   size: str | None = None) -> DataFrame:
-    """Number the rows of each group 1, 2, …; optionally add the group's size."""
-    ranked = rank_rows(df, [F.col(g) for g in group] + order, "_place")
-    groups = ranked.groupBy(*group).agg(F.min("_place").alias("_first"), F.count("*").alias("_members"))
-    wanted = {name: F.col("_place") - F.col("_first") + 1}
+    """Number the rows of each group 1, 2, …; optionally add the group's size.
+
+    One small row per slice and group tells where the group begins in the slice, how many of its rows earlier slices
+    hold, and how many there are in all.
+    """
+    sliced = sorted_slices(df, [F.col(g) for g in group] + order)
+    parts = sliced.groupBy("_slice", *group).agg(F.min("_row").alias("_from"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        F.col("_slice").alias("_part"), *group, F.sum("_n").over(whole).alias("_members"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_from") + 1).alias("_shift"))
+    parts, match, names = keys_apart(parts, group)
+    wanted = {name: F.col("_row") + F.col("_shift")}
     if size:
         wanted[size] = F.col("_members")
-    groups, match, names = keys_apart(groups, group)
-    return (ranked.join(groups, match).withColumns(wanted)
-            .drop("_place", "_first", "_members", *names))
+    return (sliced.join(parts, match & (F.col("_slice") == F.col("_part"))).withColumns(wanted)
+            .drop("_slice", "_row", "_part", "_shift", "_members", *names))
 
 
-def previous_in_group(df: DataFrame, group: list[str], order: list[str], value: str,
-                      name: str = "previous") -> DataFrame:
-    """`value` of the preceding row of the same group, null for the first.
+def previous_time(df: DataFrame, group: list[str], tie: str, ts: str = "ts", name: str = "previous",
+                  slot_seconds: int = 3600) -> DataFrame:
+    """The time of the preceding row of the same group, null for the first.
 
-    The neighbour is looked up inside the slice. The last row a group has in an earlier slice is put in front
-    of its rows in the next one as a marker, so that the first of them finds it in the same place.
+    Rows meet in slots of time, so a group that holds most of the table is cut into many. The last time of a group's
+    previous slot, one small row each, is put in front of its rows as a marker.
     """
-    sliced = sorted_slices(df, [F.col(c) for c in group + order])
-    ends = sliced.groupBy("_slice", *group).agg(F.max_by(value, "_row").alias("_last"))
-    across = Window.partitionBy(*group).orderBy("_slice")
-    markers = (ends.withColumn(value, F.lag("_last").over(across)).drop("_last")
-               .filter(F.col(value).isNotNull()).withColumn("_row", F.lit(-1).cast("bigint")))
-    inside = Window.partitionBy("_slice", *group).orderBy("_row")
-    return (sliced.unionByName(markers, allowMissingColumns=True)
-            .withColumn(name, F.lag(value).over(inside))
-            .filter(F.col("_row") >= 0).drop("_slice", "_row"))
+    slotted = df.withColumns({"_slot": F.floor(micros(ts) / (slot_seconds * 1_000_000)),
+                              "_mark": F.lit(1)})
+    ends = slotted.groupBy(*group, "_slot").agg(F.max(ts).alias("_last"))
+    across = Window.partitionBy(*group).orderBy("_slot")
+    markers = (ends.withColumn(ts, F.lag("_last").over(across)).drop("_last").filter(F.col(ts).isNotNull())
+               .withColumn("_mark", F.lit(0)))
+    inside = Window.partitionBy(*group, "_slot").orderBy("_mark", ts, tie)
+    return (slotted.unionByName(markers, allowMissingColumns=True).withColumn(name, F.lag(ts).over(inside))
+            .filter("_mark = 1").drop("_slot", "_mark"))

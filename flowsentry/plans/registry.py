@@ -487,8 +487,9 @@ def alert_source_ip(t: Tables) -> DataFrame:
 
 @register
 def zscore_features(t: Tables) -> DataFrame:
-    moments = PF.fit_moments(t.flows, NUMERIC)
-    return rounded(PF.standardise(t.flows, moments, KEY), *NUMERIC)
+    numeric = PF.numeric_features(t.flows.select(*FLOW_FEATURES))
+    moments = PF.fit_moments(t.flows, numeric)
+    return rounded(PF.standardise(t.flows, moments, KEY), *numeric)
 
 
 @register

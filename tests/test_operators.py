@@ -326,3 +326,28 @@ def test_one_group_holding_every_row_is_cut_into_even_slices(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) == 4 and sum(sizes) == 20_000 and max(sizes) < 2 * 5_000
+
+
+def test_previous_times_cross_slots_and_hot_groups(make):
+    from flowsentry.operators.ordering import previous_time
+
+    times = [0, 1, 1, 5, 3600, 3601, 90_000, 90_000]
+    df = make([("hot", i, f"2024-01-{1 + t // 86400:02d} {t % 86400 // 3600:02d}:{t % 3600 // 60:02d}:{t % 60:02d}")
+               for i, t in enumerate(times)] + [(None, 50, "2024-01-01 00:00:00"), (None, 51, "2024-01-02 00:00:00"),
+                                                ("x", 60, None)], "g string, id long, ts string")
+    got = previous_time(df, ["g"], "id").orderBy("id").collect()
+    known = {r.id: r.ts for r in got}
+    assert [r.previous for r in got] == [None, *[known[i] for i in range(7)], None, known[50], None]
+    assert len(got) == 11 and "checkpoint" not in previous_time(df, ["g"], "id")._jdf.queryExecution().toString().lower()
+
+
+def test_ranks_in_groups_over_slices(spark):
+    from flowsentry.operators.ordering import rank_in_group
+
+    df = spark.range(500).selectExpr("id", "CASE WHEN id % 5 < 3 THEN 'a' WHEN id % 5 = 3 THEN 'b' END AS g").repartition(5)
+    got = rank_in_group(df, ["g"], [F.col("id").desc()], "place", "members").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: -r.id):
+        by.setdefault(r.g, []).append((r.place, r.members))
+    assert {g: len(v) for g, v in by.items()} == {"a": 300, "b": 100, None: 100}
+    assert all(v == [(i + 1, len(v)) for i in range(len(v))] for v in by.values())
