@@ -80,9 +80,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     spark = docs.sparkSession
     known = training_labels(labels, label, id_column)
     share = min(1.0, fit_rows / max(known.count(), 1))
-    known = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share * (1 << 20))
+    # the same hash on both sides, so texts that can't be in the sample are never shuffled
+    chosen = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share * (1 << 20)) & ~held_out("doc_id")
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    sample = checkpointed(rows.join(known, "doc_id").repartition(FIT_TASKS, F.xxhash64("doc_id", "text")))
+    sample = checkpointed(rows.filter(chosen).join(known.filter(chosen), "doc_id").repartition(FIT_TASKS, F.xxhash64("doc_id", "text")))
 
     def count(batches):
         mark, found, size = np.zeros(SLOTS, np.int64), np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
