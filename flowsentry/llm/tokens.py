@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 # Words whose ids a task keeps between batches.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 # Letters with signs after them: two pre-tokens whatever the letters are. Words with an apostrophe (contractions) or
 # with the signs of special tokens are left to the whole tokenizer.
@@ -38,7 +39,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # the ids as bytes: small objects, joined in one go
 
     def encode(self, texts: list[str], closing: int | None = None) -> list[np.ndarray]:
         """uint32 ids of each text, with the closing id at the end."""
@@ -57,8 +58,8 @@ class Encoder:
         words = pieces.take(pa.array(np.arange(0, 2 * len(ends), 2))).dictionary_encode()
         which = words.indices.to_numpy()
         ids = self._ids(words.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         # ids of all words in order, gathered from the distinct ones
         length = sizes[which]
@@ -70,7 +71,7 @@ class Encoder:
         tail = np.array([] if closing is None else [closing], np.uint32)
         return [np.concatenate([x, tail]) for x in np.split(every, cuts)[:len(raw)]]
 
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -84,10 +85,10 @@ class Encoder:
                     known[w] = ids
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other],
                                                                 add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
+            known[w] = array("I", e.ids).tobytes()
         return [known[w] for w in words]
 
-    def _plain(self, word: str) -> np.ndarray | None:
+    def _plain(self, word: str) -> bytes | None:
         """Ids of letters and signs straight from the model; None for a word that needs the whole tokenizer."""
         found = _PLAIN.fullmatch(word)
         if not found or not (word.isascii() or found[1].lower().isalpha() and "\u03a3" not in word
@@ -98,4 +99,4 @@ class Encoder:
             if part:
                 shown = part.lower().encode("utf-8").decode("latin-1").translate(self.letters)
                 ids.extend([t.id for t in self.model.tokenize(shown)])
-        return np.array(ids, np.uint32)
+        return array("I", ids).tobytes()
