@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,19 +59,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-# Shuffle files are of no more use once what they led to is on shared storage.
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Actions in this block remove their shuffle files when they end. For results that nothing reads again: written
+    ones, and single numbers."""
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` on shared storage, so that row positions survive the loss of an executor. The shuffle
     files written on the way are removed at once."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
-    spark.conf.set(_CLEAN_SHUFFLES, "true")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(_CLEAN_SHUFFLES, before)
+    with shuffles_removed(spark):
+        return df.select("*").checkpoint()  # a new query: the setting is read when a query is made
