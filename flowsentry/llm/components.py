@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.session import checkpointed
+from flowsentry.session import checkpointed, shuffles_removed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,8 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpointed(_star(large, larger=False))
         doubled = edges.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         onward = edges.select("to").distinct().join(edges.select(F.col("node").alias("to")), "to", "left_semi")
-        if doubled.select(F.lit(1)).union(onward.select(F.lit(1))).limit(1).count() == 0:
-            break
+        with shuffles_removed(links.sparkSession):
+            if doubled.select(F.lit(1)).union(onward.select(F.lit(1))).limit(1).count() == 0:
+                break
     roots = edges.select("to").distinct().select(F.col("to").alias("node"), F.col("to").alias("component"))
     return edges.select("node", F.col("to").alias("component")).union(roots)
 
