@@ -94,10 +94,7 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     rarity = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
 
     def has_cue(text: Column) -> Column:
-        low, out = F.lower(text), F.lit(False)
-        for cue in sorted(cues):
-            out = out | low.contains(cue)
-        return out
+        return F.arrays_overlap(F.split(F.lower(text), BETWEEN), F.array(*map(F.lit, sorted(cues))))
 
     segments = rows.filter(has_cue(F.col("text"))) \
         .select("path", "mark", F.length("text").alias("chars"),
