@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from flowsentry.llm.packing import Mixer, pack
+from flowsentry.llm.packing import GATHERED, Mixer, pack
 from flowsentry.llm.queries import TOKENIZER
 from flowsentry.llm.sharding import SHARDS, shard, walk
 from flowsentry.llm.tokens import Encoder
@@ -57,8 +57,9 @@ def test_whole_corpus_in_full_windows(table):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     filled = check(pack(docs, PATH).collect(), rows)
     assert sum(f < 4096 for f in filled) <= 1
+    # one window of every GATHERED tasks may stay open
     filled = check(pack(docs.repartition(9), PATH).collect(), rows)
-    assert sum(f < 4096 for f in filled) <= 1
+    assert sum(f < 4096 for f in filled) <= -(-9 // GATHERED)
 
 
 def test_odd_rows(docs):
