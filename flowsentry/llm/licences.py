@@ -24,6 +24,8 @@ from flowsentry.session import checkpointed
 THRESHOLD = 0.6
 # Share of a file's characters that makes it a licence file.
 STATEMENT = 0.5
+# A term with one HOT-th of all segments' terms is hot.
+HOT = 1000
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-_.].*)?$"
 
 # The usual statements of licences.
@@ -66,14 +68,13 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
         .groupBy("template", "licence", "term").agg(F.count("*").alias("times")).collect()
     words = sorted({r["term"] for r in wanted})
 
-    # over all files: how many have each template term (at most one number per term and task)
-    held = F.array_intersect(F.split(F.lower("text"), BETWEEN), F.array(*map(F.lit, words)))
-    counted = rows.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")) \
-        .groupBy("term").agg(F.count("*").alias("files")).collect()
-    files_with = {r["term"]: r["files"] for r in counted}
-    total = files_with.get("", 0)
-    idf = {w: math.log((1 + total) / (1 + files_with.get(w, 0))) + 1 for w in words}
-    rarest = math.log(1 + total) + 1
+    # over all files: how many have each term ('' is in all). Only terms of one file are left out, so that a missing one has one.
+    files_with = rows.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("text"), BETWEEN)))).alias("term")) \
+        .groupBy("term").agg(F.count("*").alias("files")).filter((F.col("files") > 1) | F.col("term").isin("", *words))
+    files_with = checkpointed(files_with)
+    counted = {r["term"]: r["files"] for r in files_with.filter(F.col("term").isin("", *words)).collect()}
+    total = counted.get("", 0)
+    idf = {w: math.log((1 + total) / (1 + counted.get(w, 0))) + 1 for w in words}
     weights: dict[int, dict[str, float]] = {}
     names = {}
     for r in wanted:
@@ -91,7 +92,6 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     vectors = spark.createDataFrame(
         [(t, names[t], term, w / math.sqrt(sum(x * x for x in v.values()))) for t, v in weights.items() for term, w in v.items()],
         "template int, licence string, term string, part double")
-    rarity = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
 
     def has_cue(text: Column) -> Column:
         return F.arrays_overlap(F.split(F.lower(text), BETWEEN), F.array(*map(F.lit, sorted(cues))))
@@ -101,10 +101,16 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
                 F.posexplode(F.split("text", r"[\r\n]+|(?<=[.!?;])\s+")).alias("place", "segment")) \
         .filter(has_cue(F.col("segment"))).distinct()
     segments = checkpointed(segments.withColumn("found", terms(F.col("segment"))))
-    tf = segments.select("path", "mark", "place", F.explode("found").alias("term")) \
-        .groupBy("path", "mark", "place", "term").agg(F.count("*").alias("times"))
-    tf = tf.join(F.broadcast(rarity), "term", "left") \
-        .withColumn("weight", F.col("times") * F.coalesce("idf", F.lit(rarest)))
+    tf = checkpointed(segments.select("path", "mark", "place", F.explode("found").alias("term"))
+                      .groupBy("path", "mark", "place", "term").agg(F.count("*").alias("times")))
+    rarity = checkpointed(tf.groupBy("term").agg(F.count("*").alias("uses")).join(files_with, "term", "left").select(
+        "term", "uses", (F.log((1 + total) / (1 + F.coalesce("files", F.lit(1)))) + 1).alias("idf")))
+    # terms of a thousandth of the rows or more, at most 1000, are broadcast: no key of the other join is hot
+    hot = F.col("uses") * HOT >= (rarity.agg(F.sum("uses")).first()[0] or 0)
+    tf = tf.join(F.broadcast(rarity.filter(hot).drop("uses")), "term", "left")
+    tf = tf.filter("idf is not null").unionByName(
+        tf.filter("idf is null").drop("idf").join(rarity.filter(~hot).drop("uses"), "term"))
+    tf = tf.withColumn("weight", F.col("times") * F.col("idf"))
     norms = tf.groupBy("path", "mark", "place").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = tf.join(F.broadcast(vectors), "term").groupBy("path", "mark", "place", "template", "licence") \
         .agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))

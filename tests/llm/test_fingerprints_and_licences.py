@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import pytest
 
@@ -84,6 +85,19 @@ def test_every_template_is_found_in_its_own_words(spark):
         assert found[f"{i}.txt"][0] == name and found[f"{i}.txt"][1] > 0.95
 
 
+def test_common_words_around_a_statement_weigh_little(spark):
+    common = "it as for you copyright this article is under by the terms of published all rights corp example"
+    plain = spark.range(20_000).selectExpr("concat('plain/', id) AS path", f"'{common}' AS text")
+    rows = [("a", "This article is licensed under CC BY 4.0"), ("c", "Copyright Example Corp, all rights reserved"),
+            ("b", "it as for you copyright this work is licensed under the GNU General Public License, version 2")]
+    found = {r.path: r for r in scan(plain.union(spark.createDataFrame(rows, "path string, text string"))).filter("own_licence IS NOT NULL").collect()}
+    assert {p: r.own_licence for p, r in found.items()} == {"a": "CC-BY-4.0", "b": "GPL-2.0", "c": "Proprietary"}
+    # by hand: idf of a term of 20,001 to 20,003 of 20,003 files is 1 to 1e-4, of one of 2 files or of 1 file this
+    rare = {1: math.log(20_004 / 2) + 1, 2: math.log(20_004 / 3) + 1}
+    both = 3 * rare[1] ** 2 + rare[2] ** 2 + 2  # cc, 4, 0; licensed; under, by
+    assert found["a"].own_score == pytest.approx(math.sqrt(both / (both + 3)), abs=1e-4)
+
+
 def test_no_python_on_the_native_path(spark, table):
     from flowsentry.llm.queries import RULES
     from flowsentry.llm.urltrust import judge
