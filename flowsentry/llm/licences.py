@@ -1,10 +1,11 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then directory inheritance.
 
-Texts are cut into segments at line and sentence ends. A segment is compared with every template as a sparse vector
+Texts are cut into paragraphs at lines without letters and digits. Segments are runs of up to four adjacent pieces of a
+paragraph, cut at line and sentence ends, and its whole sentences with their lines joined. A segment is compared with every template as a sparse vector
 of term frequency times inverse document frequency; document frequencies are counted over all files. A segment that has
 none of the templates' heaviest terms can't reach the threshold (the heaviest terms are chosen so that the rest of
 a template has a smaller cosine), so only segments with one of them become vectors. A file's own licence is its best
-segment's. Files that are named as licence files, or consist mostly of a licence statement, give their licence to the
+segment's; a segment that lacks a version number of a statement doesn't count for it. Files that are named as licence files, or consist mostly of a licence statement, give their licence to the
 files below their directory that have none; the nearest such directory wins. All of it is DataFrame operations.
 
 Defined results: null text is the empty text, a null path the empty one (in the root directory). Files repeated under
@@ -24,6 +25,8 @@ from flowsentry.session import checkpointed
 THRESHOLD = 0.6
 # Share of a file's characters that makes it a licence file.
 STATEMENT = 0.5
+# Adjacent pieces that are compared as one segment; sentences are compared whole besides.
+ADJACENT = 4
 # A term with one HOT-th of all segments' terms is hot.
 HOT = 1000
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-_.].*)?$"
@@ -50,6 +53,10 @@ TEMPLATES = [
 
 
 BETWEEN = "[^a-z0-9]+"
+# A line end before a line without letters and digits, and what ends a piece or a sentence.
+GAP, PIECE_END, SENTENCE_END = r"(?:\r\n?+|\n)[^\p{L}\p{N}\r\n]*+(?=[\r\n])", r"[\r\n]+|(?<=[.!?;])\s+", r"(?<=[.!?;])\s+"
+# Signs before and after the words of a line.
+SIGNS = r"(?m)^[^\p{L}\p{N}\r\n]++|[*/#>\s-]*+$"
 
 
 def terms(text: Column) -> Column:
@@ -88,18 +95,32 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
             heaviest = max(rest, key=lambda t: (rest[t], t))
             cues.add(heaviest)
             del rest[heaviest]
-    # one row per template and term: as many as the statements have words
+    # one row per template and term, as many as the statements have words, and one per version written as v3
+    parts = []
+    for t, v in weights.items():
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        versions = [term for term in v if term.isdigit() and term != "0"]
+        parts += [(t, names[t], term, w / norm, term if term in versions else None, len(versions)) for term, w in v.items()]
+        parts += [(t, names[t], "v" + term, 0.0, term, len(versions)) for term in versions]
     vectors = spark.createDataFrame(
-        [(t, names[t], term, w / math.sqrt(sum(x * x for x in v.values()))) for t, v in weights.items() for term, w in v.items()],
-        "template int, licence string, term string, part double")
+        parts, "template int, licence string, term string, part double, version string, versions int")
 
     def has_cue(text: Column) -> Column:
         return F.arrays_overlap(F.split(F.lower(text), BETWEEN), F.array(*map(F.lit, sorted(cues))))
 
-    segments = rows.filter(has_cue(F.col("text"))) \
-        .select("path", "mark", F.length("text").alias("chars"),
-                F.posexplode(F.split("text", r"[\r\n]+|(?<=[.!?;])\s+")).alias("place", "segment")) \
-        .filter(has_cue(F.col("segment"))).distinct()
+    paragraphs = rows.filter(has_cue(F.col("text"))).distinct() \
+        .select("path", "mark", F.length("text").alias("chars"), F.posexplode(F.split("text", GAP)).alias("at", "paragraph")) \
+        .filter(has_cue(F.col("paragraph")))
+    pieces = F.filter(F.split("paragraph", PIECE_END), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    runs = F.flatten(F.transform(
+        F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.exists(F.slice("cued", i, ADJACENT), lambda x: x)),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ADJACENT), F.size("pieces") - i + 1)),
+                              lambda n: F.array_join(F.slice("pieces", i, n), " "))))
+    sentences = F.split(F.regexp_replace(F.regexp_replace("paragraph", SIGNS, ""), r"[\r\n]+", " "), SENTENCE_END)
+    segments = paragraphs.withColumn("pieces", pieces).withColumn("cued", F.transform("pieces", has_cue)) \
+        .select("path", "mark", "chars", "at", F.posexplode(F.array_distinct(F.concat(runs, sentences))).alias("nth", "segment")) \
+        .filter(has_cue(F.col("segment"))) \
+        .select("path", "mark", "chars", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("nth")).alias("place"), "segment")
     segments = checkpointed(segments.withColumn("found", terms(F.col("segment"))))
     tf = checkpointed(segments.select("path", "mark", "place", F.explode("found").alias("term"))
                       .groupBy("path", "mark", "place", "term").agg(F.count("*").alias("times")))
@@ -113,9 +134,10 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     tf = tf.withColumn("weight", F.col("times") * F.col("idf"))
     norms = tf.groupBy("path", "mark", "place").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = tf.join(F.broadcast(vectors), "term").groupBy("path", "mark", "place", "template", "licence") \
-        .agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
+        .agg(F.sum(F.col("weight") * F.col("part")).alias("dot"),
+             (F.count_distinct("version") == F.first("versions")).alias("held"))
     best = dots.join(norms, ["path", "mark", "place"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)) \
-        .filter(F.col("score") >= threshold)
+        .filter(F.col("held") & (F.col("score") >= threshold))
     lengths = segments.select("path", "mark", "place", (F.length("segment") / F.greatest("chars", F.lit(1))).alias("share"))
     own = checkpointed(best.join(lengths, ["path", "mark", "place"]).groupBy("path", "mark").agg(
         F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence")).alias("own"),

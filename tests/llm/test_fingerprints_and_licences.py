@@ -98,6 +98,21 @@ def test_common_words_around_a_statement_weigh_little(spark):
     assert found["a"].own_score == pytest.approx(math.sqrt(both / (both + 3)), abs=1e-4)
 
 
+def test_wrapped_statements_keep_their_version(spark):
+    gpl = ["This work is licensed under the GNU General Public", "License, version 3."]
+    rows = [("a/x.py", "# " + "\n# ".join(gpl) + "\n#\n# other words\n" + "code " * 90), ("b/x.c", "/*\r\n * " + "\r\n * ".join(gpl) + "\r\n */"),
+            ("c/word_by_word", "\n".join(" ".join(gpl).split())), ("b/below/y.c", "int x;"),
+            ("d/none", "This work is licensed under the GNU General Public License"),
+            ("e/v3", "This work is licensed under the GNU General Public License v3"), ("f/blank", gpl[0] + "\n\n" + gpl[1]),
+            ("g/two", "This work is licensed under the GNU General Public\nLicense, version 2"), ("h", "\n" * 50_000 + "\n".join(gpl))]
+    found = {r.path: r for r in scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    own = {p: r.own_licence for p, r in found.items()}
+    assert own == {"a/x.py": "GPL-3.0", "b/x.c": "GPL-3.0", "c/word_by_word": "GPL-3.0", "b/below/y.c": None, "d/none": None,
+                   "e/v3": "GPL-3.0", "f/blank": None, "g/two": "GPL-2.0", "h": "GPL-3.0"}
+    assert found["a/x.py"].own_score == found["c/word_by_word"].own_score == 1
+    assert (found["b/below/y.c"].licence, found["b/below/y.c"].from_folder) == ("GPL-3.0", "b")
+
+
 def test_no_python_on_the_native_path(spark, table):
     from flowsentry.llm.queries import RULES
     from flowsentry.llm.urltrust import judge
