@@ -1,9 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass classifies each block by where it stands (menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are boilerplate; a page that marks its article or main
-part has its text there) and, where the markup leaves it open, by link density, length and stop-word density. Short and
-middling blocks stay ambiguous; in the second pass they take the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. Menus, footers, headers outside the article, asides and controls are
+boilerplate. Class and id words and forms are evidence: what they wrap is boilerplate unless it holds the largest
+<article> or <main>, or, on a page without a long one outside, half of the text. All other blocks are labelled by link density, length and stop-word
+density. If the marked main parts hold half of the text, they are a prior: inside, unlinked blocks of any length are at
+least ambiguous; outside, only long ones count. A page with few known stop words is judged by length and links. Short
+and middling blocks stay ambiguous; in the second pass they take the label of the nearest decided neighbours,
+inside the main parts of those there.
 
 Defined results: a null or empty page has the empty text. White space inside a block becomes one space, blocks are
 trimmed, empty ones vanish, the others are joined by one line end in page order. Unclosed and crossing tags are
@@ -14,6 +17,7 @@ empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,14 +33,19 @@ figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr h
 p pre section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas audio video map".split())
-FURNITURE = frozenset("nav footer aside form menu dialog button select option datalist textarea fieldset".split())
+FURNITURE = frozenset("nav footer aside menu dialog button select option datalist textarea".split())
+FORMS = frozenset(["form", "fieldset"])
 MAIN = frozenset(["article", "main"])
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words in class and id attributes of page furniture.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|"
-                   r"footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
-                   r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus\w*|replies|respond|pagination|pager|"
-                   r"widget|toolbar|login|signup)(?=$|[\s_-])", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+# Class and id names of page furniture, made of these words and of words that say nothing.
+_PLAIN = (r"(?:site|page|main|primary|secondary|top|bottom|left|right|list|box|wrap|wrapper|container|section|area|bar|links?|"
+          r"items?|block|posts?|articles?|stories|buttons?|icons?|form|inner|outer|wide|\d+)")
+_MARK = (r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|header|masthead|"
+         r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|"
+         r"comments?|commentlist|disqus\w*|replies|respond|pagination|pager|widget|toolbar|login|signup)")
+MARKS = re.compile(rf"(?:^|\s)(?:{_PLAIN}[_-])*+{_MARK}(?:[_-](?:{_PLAIN}|{_MARK}))*+(?=$|\s)", re.I)
+# The one that says nothing inside the article.
+HEADER = re.compile(rf"(?:^|\s)(?:{_PLAIN}[_-])*+header(?=$|\s)", re.I)
 # The most common words of English, French, German and Spanish.
 STOP_WORDS = frozenset("""the of and to in a is that for it was on with as be at by this are or an from not have which but
 le la les de des du et un une en est que qui dans pour pas sur au avec ce il
@@ -44,13 +53,14 @@ der die das und in den von zu mit sich des auf ist im dem nicht ein eine als auc
 el los las del y que se por con para una no al lo su como""".split())
 
 SHORT, LONG = 70, 200
+MAIN_LINKS = 0.8  # inside the article
 MANY_LINKS, LOW_STOPS, HIGH_STOPS = 0.33, 0.20, 0.30
 GOOD, NEAR_GOOD, OPEN, BAD = "good", "near good", "short", "bad"
 
 
 class Block:
-    def __init__(self, furniture: bool, main: bool, heading: bool):
-        self.furniture, self.main, self.heading = furniture, main, heading
+    def __init__(self, furniture: bool, main: int | None, heading: bool, wrappers: tuple[int, ...]):
+        self.furniture, self.main, self.heading, self.wrappers = furniture, main, heading, wrappers
         self.text: list[str] = []
         self.linked = 0
 
@@ -60,10 +70,11 @@ class Cutter(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, furniture, hidden
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, hidden, marked
         self.blocks: list[Block] = []
         self.now: Block | None = None
-        self.links = self.breaks = self.hidden = self.furniture = self.main = 0
+        self.links = self.breaks = self.hidden = self.furniture = self.main = self.mains = self.marked = 0
+        self.wrappers: list[int] = []
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -81,14 +92,14 @@ class Cutter(HTMLParser):
             return
         inside_main = self.main > 0
         named = dict(attrs)
-        marked = bool(MARKS.search(f"{named.get('class') or ''} {named.get('id') or ''}")) and tag not in ("body", "html", *MAIN)
-        furniture = (tag in FURNITURE or (tag == "header" and not inside_main) or marked
-                     or (named.get("role") or "").lower() in ROLES)
+        names = f"{named.get('class') or ''} {named.get('id') or ''}"
+        if inside_main:
+            names = HEADER.sub(" ", names)
+        role = (named.get("role") or "").lower()
+        marked = tag in FORMS or role == "form" or (bool(MARKS.search(names)) and tag not in ("body", "html", *MAIN))
+        furniture = tag in FURNITURE or (tag == "header" and not inside_main) or role in ROLES
         hidden = tag in HIDDEN or "hidden" in named or (named.get("aria-hidden") or "") == "true"
-        self._enter(tag, furniture, hidden)
-        if (named.get("role") or "").lower() == "main":
-            self.open[-1] = ("main:" + tag, furniture, hidden)
-            self.main += 1
+        self._enter("main:" + tag if role == "main" and tag not in MAIN else tag, furniture, hidden, marked)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -117,24 +128,31 @@ class Cutter(HTMLParser):
             if not data.strip():
                 return
             heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in self.open)
-            self.now = Block(self.furniture > 0, self.main > 0, heading)
+            self.now = Block(self.furniture > 0, self.mains if self.main else None, heading, tuple(self.wrappers))
             self.blocks.append(self.now)
         self.now.text.append(data)
         if self.links:
             self.now.linked += len(data.strip())
 
-    def _enter(self, tag: str, furniture: bool, hidden: bool) -> None:
-        self.open.append((tag, furniture, hidden))
+    def _enter(self, tag: str, furniture: bool, hidden: bool, marked: bool) -> None:
+        self.open.append((tag, furniture, hidden, marked))
         self.furniture += furniture
         self.hidden += hidden
-        self.main += tag in MAIN
+        if tag in MAIN or tag.startswith("main:"):
+            self.mains += not self.main
+            self.main += 1
+        if marked:
+            self.marked += 1
+            self.wrappers.append(self.marked)
         self.links += tag == "a"
 
     def _leave(self) -> None:
-        tag, furniture, hidden = self.open.pop()
+        tag, furniture, hidden, marked = self.open.pop()
         self.furniture -= furniture
         self.hidden -= hidden
         self.main -= tag in MAIN or tag.startswith("main:")
+        if marked:
+            self.wrappers.pop()
         self.links -= tag.removeprefix("main:") == "a"
 
     def _close_implied(self, tag: str) -> None:
@@ -149,20 +167,50 @@ class Cutter(HTMLParser):
                 return
 
 
-def first_pass(text: str, block: Block, marked_main: bool) -> str:
-    if block.furniture:
-        return BAD
-    if marked_main:
-        return GOOD if block.main else BAD
+def size(text: str) -> int:
+    """Characters; the wide ones of East Asia count twice."""
+    return len(text) if text.isascii() else len(text) + sum(c >= "\u2e80" for c in text)
+
+
+def stop_share(texts: list[str]) -> float:
+    words = re.findall(r"\w+", " ".join(texts).lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def closed_wrappers(blocks: list[tuple[str, Block]]) -> set[int]:
+    """Marked elements and forms that hold neither the largest main part nor, without a long one outside, half of the text."""
+    mains: Counter = Counter()
+    held: Counter = Counter()
+    around: dict[int, set[int]] = {}
+    total = 0
+    for text, b in blocks:
+        mass = 0 if b.furniture else max(size(text) - b.linked, 0)
+        total += mass
+        held.update(dict.fromkeys(b.wrappers, mass))
+        if b.main is not None:
+            mains[b.main] += mass
+            around[b.main] = around[b.main] & set(b.wrappers) if b.main in around else set(b.wrappers)
+    largest = max(mains, key=lambda m: (mains[m], -m), default=None)
+    known = largest is not None and mains[largest] > LONG
+    inside = around.get(largest, set())
+    return {w for w, mass in held.items() if w not in inside and (known or 2 * mass < total or mass <= (LONG if mains else 0))}
+
+
+def first_pass(text: str, block: Block, prior: bool, known: bool) -> str:
+    """`prior`: the main parts hold half of the text. `known`: the page has the usual part of stop words."""
+    chars = size(text)
     linked = block.linked / max(len(text), 1)
+    if prior and block.main is not None:
+        return BAD if linked > MAIN_LINKS else GOOD if chars >= SHORT else NEAR_GOOD
     if linked > MANY_LINKS:
         return BAD
-    words = re.findall(r"\w+", text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if len(text) < SHORT:
-        return BAD if block.linked else OPEN
+    if chars < SHORT:
+        return BAD if block.linked or prior else OPEN
+    stops = stop_share([text]) if known else HIGH_STOPS
+    if prior:
+        return GOOD if stops >= HIGH_STOPS and chars > LONG else BAD
     if stops >= HIGH_STOPS:
-        return GOOD if len(text) > LONG else NEAR_GOOD
+        return GOOD if chars > LONG else NEAR_GOOD
     if stops >= LOW_STOPS:
         return NEAR_GOOD
     return BAD
@@ -200,10 +248,22 @@ def main_text(html: str | None) -> str:
     cutter.close()
     blocks = [(" ".join("".join(b.text).split()), b) for b in cutter.blocks]
     blocks = [(text, b) for text, b in blocks if text]
-    marked_main = any(b.main and not b.furniture for _, b in blocks)
-    labels = [first_pass(text, b, marked_main) for text, b in blocks]
-    kept = second_pass(labels, [b.heading for _, b in blocks])
-    return "\n".join(text for (text, _), keep in zip(blocks, kept) if keep)
+    closed = closed_wrappers(blocks)
+    blocks = [(text, b, b.furniture or not closed.isdisjoint(b.wrappers)) for text, b in blocks]
+    free = [(text, b) for text, b, furniture in blocks if not furniture]
+    total, marked = (sum(max(size(t) - b.linked, 0) for t, b in part) for part in (free, [x for x in free if x[1].main is not None]))
+    # outside, half of the text or less than an article
+    prior = marked > 0 and (2 * marked >= total or total - marked <= LONG)
+    known = stop_share([t for t, b in free if size(t) >= SHORT and b.linked <= MANY_LINKS * len(t)]) >= LOW_STOPS
+    labels = [BAD if furniture else first_pass(text, b, prior, known) for text, b, furniture in blocks]
+    kept = [False] * len(blocks)
+    # with a prior, blocks of the main parts have their neighbours there
+    inside = [i for i, (_, b, furniture) in enumerate(blocks) if prior and b.main is not None and not furniture]
+    taken = set(inside)
+    for part in (inside, [i for i in range(len(blocks)) if i not in taken]):
+        for i, keep in zip(part, second_pass([labels[i] for i in part], [blocks[i][1].heading for i in part])):
+            kept[i] = keep
+    return "\n".join(text for (text, _, _), keep in zip(blocks, kept) if keep)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",

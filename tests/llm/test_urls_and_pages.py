@@ -77,6 +77,34 @@ def test_blocks_without_a_marked_article():
         or main_text(page).split("\n")[:4] == ["Title of it", prose.strip(), "A short one.", prose.strip()]
 
 
+PROSE = "The cat sat on the mat and it was the best of all the days that they had in that house by the sea. " * 3
+
+
+def test_marked_wrappers_are_evidence():
+    body = f"<article><div class='entry-header'><h1>Headline</h1></div><p>{PROSE}</p><section id='social-impact'><p>Impact</p></section></article>"
+    want = ["Headline", PROSE.strip(), "Impact"]
+    for wrapper in ("div class='content no-sidebar'", "div class='page has-sidebar'", "div class='elementor-widget'", "form", "div class='widget'"):
+        page = f"<{wrapper}>{body}<div class='sidebar'><p>{PROSE}</p></div></{wrapper.split()[0]}>"
+        assert main_text(page).split("\n") == want
+    assert main_text(f"<form><h1>Headline</h1><p>{PROSE}</p></form>").split("\n") == want[:2]
+    assert main_text(f"<article><p>{PROSE}</p></article><div id='comments'><p>{PROSE * 5}</p></div>") == PROSE.strip()
+
+
+def test_densities_decide_on_pages_with_an_article():
+    teasers = "".join(f"<article><h2><a href=/{i}>Teaser {i}</a></h2><p>Short words {i}</p></article>" for i in range(4))
+    assert main_text(f"<div><p>{PROSE}</p><p>{PROSE}</p></div>{teasers}").split("\n")[:2] == [PROSE.strip()] * 2
+    links = "".join(f"<li><a href=/{i}>Another story of ours number {i}</a></li>" for i in range(5))
+    assert main_text(f"<article><p>{PROSE}</p><h3>More</h3><ul>{links}</ul><p>{PROSE}</p><p>End.</p><p>Yes.</p></article><footer>x</footer>") \
+        == "\n".join([PROSE.strip()] * 2 + ["End.", "Yes."])
+
+
+def test_texts_in_other_languages():
+    for text in ("Il gatto dormiva sul tappeto vicino alla finestra mentre fuori pioveva forte. " * 4, "Кошка спала на ковре у окна, пока шёл дождь. " * 6,
+                 "猫在窗边的地毯上睡着了，外面下着大雨。" * 10):
+        page = f"<div><a href=/>Home</a></div><p>{text}</p><p>{text}</p>"
+        assert main_text(page) == f"{text.strip()}\n{text.strip()}"
+
+
 def test_second_pass_asks_the_nearest_decided_blocks():
     assert second_pass(["good", "short", "good"], [False] * 3) == [True, True, True]
     assert second_pass(["bad", "near good", "bad"], [False] * 3) == [False] * 3
