@@ -1,9 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills every window to target token shares.
 
-Each task keeps one queue of tokenised documents per source. A window gives every source its share of the capacity as
+Documents are dealt evenly over the tasks and mixed there, however the table lies. Each task keeps one queue of tokenised
+documents per source. A window gives every source its share of the capacity as
 credit; each source then has one turn to spend it, cutting documents freely, and where short queues leave room the
 source with the most credit goes into debt. What a source got too little or too much stays for later windows. When a task runs out of documents, its
-short queues and their credit move on to a second round, in which one task serves the rest of many first-round
+short queues and the credit of all sources move on to a second round, in which one task serves the rest of many first-round
 tasks, so only one window of each of those groups is not full.
 
 Defined results: null text is the empty text, a null source is the source ''. A document without tokens still has the
@@ -49,6 +50,8 @@ class Mixer:
         self.shares, self.capacity = shares, capacity
         self.queues: dict[int, deque] = {}
         self.credit: dict[int, float] = {}
+        self.due: dict[int, int] = {}  # windows whose share a queue's credit has
+        self.whole = sum(shares.values()) or 1.0
         self.waiting = self.windows = 0
 
     def add(self, queue: int, source: str, document, start: int, ids: np.ndarray, total: int) -> None:
@@ -60,11 +63,8 @@ class Mixer:
 
     def window(self) -> Iterator[tuple]:
         """Fill one window: every source with credit has one turn, then the one with most credit fills what is left."""
-        known = sum(self.shares.get(q, 0.0) for q in self.queues) or 1.0
         for q in self.queues:
-            due = self.credit.get(q, 0.0) + self.capacity * self.shares.get(q, 0.0) / known
-            # a source that had nothing to send for long doesn't flood the following windows
-            self.credit[q] = min(due, float(self.capacity))
+            self._accrue(q, self.windows + 1)
         filled = 0
         for q in sorted(self.queues, key=self.credit.__getitem__, reverse=True):
             turn = int(self.credit[q])
@@ -79,6 +79,12 @@ class Mixer:
                 filled += len(piece[2])
         self.windows += 1
 
+    def _accrue(self, q: int, windows: int) -> None:
+        """A source earns its share of every window, also of those for which it had nothing to send."""
+        earned = self.capacity * self.shares.get(q, 0.0) / self.whole * (windows - self.due.get(q, 0))
+        self.credit[q] = self.credit.get(q, 0.0) + earned
+        self.due[q] = windows
+
     def _serve(self, q: int, ids_left: int) -> Iterator[tuple]:
         """Up to so many ids from the front of a queue; the last document is cut."""
         queue = self.queues[q]
@@ -100,11 +106,14 @@ class Mixer:
             yield from self.window()
 
     def rest(self) -> Iterator[tuple]:
-        for q, queue in self.queues.items():
-            credit = self.credit.get(q, 0.0)
+        """What waits, then the credit of every source as (None, queue, no ids, 0, None, credit)."""
+        for queue in self.queues.values():
             for document, start, ids, total, source in queue:
-                yield document, start, ids, total, source, credit
-                credit = 0.0
+                yield document, start, ids, total, source, None
+        for q in self.shares.keys() | self.credit.keys():
+            self._accrue(q, self.windows)
+            if self.credit[q]:
+                yield None, q, np.zeros(0, np.uint32), 0, None, self.credit[q]
 
 
 def queue_of(source: str) -> int:
@@ -155,12 +164,15 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
         base = (1 << 62) + (int(key[0].as_py()) << 32)
         table = table.sort_by([("sequence_id", "ascending")])  # the order of tasks; rows of a task keep theirs
         for row in table.to_pylist():
-            q = queue_of(row["source"])
-            mixer.add(q, row["source"], row["doc_id"], row["start"], np.frombuffer(row["rest"], "<u4"),
-                      row["doc_tokens"])
-            mixer.lend(q, row["credit"])
+            if row["credit"] is not None:
+                mixer.lend(row["start"], row["credit"])
+            else:
+                mixer.add(queue_of(row["source"]), row["source"], row["doc_id"], row["start"],
+                          np.frombuffer(row["rest"], "<u4"), row["doc_tokens"])
         return pa.Table.from_batches([_batch([_row(base, piece) for piece in mixer.drain(0)], kind)])
 
+    # dealt in turn, so neither a source nor a repeated row is hot; then in the order of a hash, so sources alternate
+    rows = rows.repartition(max(rows.rdd.getNumPartitions(), 1)).sortWithinPartitions(F.xxhash64("doc_id", "source", "text"))
     made = checkpointed(rows.mapInArrow(first_round, kind))
     rests = made.filter("rest is not null")
     task = F.shiftright("sequence_id", 32)

@@ -82,6 +82,26 @@ def test_windows_follow_the_targets():
     assert np.abs(np.mean(shares, axis=0) - [0.7, 0.2, 0.1]).max() < 0.005
 
 
+def test_shares_of_a_table_sorted_by_source(spark):
+    rows = [(n, "some words of a text " * (1 + n % 5), source) for source in "abc" for n in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    for frame in (docs, docs.coalesce(1)):
+        windows = {}
+        for p in pack(frame, PATH, capacity=256).collect():
+            windows.setdefault(p.sequence_id, dict.fromkeys("abc", 0))[p.source] += p.length
+        shares = np.array([[w[s] / 256 for s in "abc"] for w in windows.values() if sum(w.values()) == 256])
+        assert len(shares) > 200 and np.abs(shares - 1 / 3).mean() < 0.05
+
+
+def test_credit_of_absent_sources_moves_on():
+    mixer = Mixer({1: 0.5, 2: 0.5})
+    mixer.add(1, "1", "a", 0, np.zeros(20_000, np.uint32), 20_000)
+    for _ in range(3):
+        list(mixer.window())
+    rest = [(p[1], p[5]) for p in mixer.rest() if p[5] is not None]
+    assert sorted(rest) == [(1, -3 * 2048.0), (2, 3 * 2048.0)]
+
+
 def test_credit_is_carried():
     mixer = Mixer({1: 0.5, 2: 0.5})
     mixer.add(1, "1", "a", 0, np.zeros(20_000, np.uint32), 20_000)
