@@ -18,7 +18,7 @@ from flowsentry.ml.detectors import Settings, feature_importance, score, score_a
 from flowsentry.ml.features import assembler, feature_matrix
 from flowsentry.ml.vote import ensemble_vote
 from flowsentry.operators.filters import flow_to_session
-from flowsentry.operators.profile import bounded_sample, stratified_folds
+from flowsentry.operators.profile import stratified_folds
 from flowsentry.plans.detection import train_detectors, training_frame
 from flowsentry.plans.registry import KEY, Tables, register
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL, SESSION_FEATURES
@@ -99,15 +99,14 @@ def feature_importance_(t: Tables) -> DataFrame:
 @register
 def rf_grid(t: Tables) -> DataFrame:
     train = training_frame(t.flows, KEY).filter(F.col("split") == "train")
-    train = bounded_sample(train, FLOW_LABEL, KEY, GRID_ROWS).coalesce(4)
-    return MT.grid_search(train.select(*FLOW_FEATURES, FLOW_LABEL))[0]
+    return MT.grid_search(train.select(*KEY, *FLOW_FEATURES, FLOW_LABEL), key=KEY, fit_rows=GRID_ROWS)[0]
 
 
 @register
 def cv_f1(t: Tables) -> DataFrame:
     rows = feature_matrix(t.flows, keep=[*KEY, FLOW_LABEL])
-    folded = stratified_folds(bounded_sample(rows, FLOW_LABEL, KEY, Settings().fit_rows), FLOW_LABEL, KEY, 5)
-    return MT.cross_validated_f1(folded.coalesce(4), 5, Settings())
+    folded = stratified_folds(rows, FLOW_LABEL, KEY, 5)
+    return MT.cross_validated_f1(folded, 5, Settings(), key=KEY)
 
 
 def _embedding_detector(t: Tables) -> tuple[DataFrame, MA.AnomalyDetector]:

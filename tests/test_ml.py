@@ -197,6 +197,29 @@ def test_cross_validation_leaves_each_fold_out_once(flows):
     assert 0.6 < found.f1_mean <= 1 and 0 <= found.f1_std < 0.2
 
 
+def test_bounded_fits_judge_every_row(flows, split, monkeypatch):
+    from dataclasses import replace
+
+    from flowsentry.ml import tuning as MT
+    from flowsentry.operators.profile import stratified_folds
+
+    rows = feature_matrix(flows, keep=[*D.FLOW_ROW_KEY, FLOW_LABEL])
+    judged, fitted = [], []
+    score_, fit_, draw_ = MT.score, MT.fit_detector, MT.bounded_sample
+    monkeypatch.setattr(MT, "score", lambda m, df, *a: judged.append(df.count()) or score_(m, df, *a))
+    monkeypatch.setattr(MT, "fit_detector", lambda df, *a: fitted.append(df.count()) or fit_(df, *a))
+    monkeypatch.setattr(MT, "bounded_sample", lambda df, label, key, n: draw_(df, label, key, n, least=1))
+    MT.cross_validated_f1(stratified_folds(rows, FLOW_LABEL, D.FLOW_ROW_KEY, 3), 3, replace(TINY, fit_rows=60), key=D.FLOW_ROW_KEY)
+    assert sum(judged) == rows.count() and max(fitted) < rows.count() / 2
+
+    train = split.filter("split = 'train'").select(*D.FLOW_ROW_KEY, *FLOW_FEATURES, FLOW_LABEL)
+    seen = []
+    evaluate = MT.MulticlassClassificationEvaluator.evaluate
+    monkeypatch.setattr(MT.MulticlassClassificationEvaluator, "evaluate", lambda self, df: seen.append(df.count()) or evaluate(self, df))
+    found = MT.grid_search(train, {"numTrees": [2, 3]}, folds=2, key=D.FLOW_ROW_KEY, fit_rows=60)[0].collect()
+    assert sum(seen) == 2 * train.count() and len(found) == 2 and sum(r.is_best for r in found) == 1
+
+
 def test_bounded_samples_keep_every_class(spark):
     from flowsentry.operators.profile import bounded_sample
 
