@@ -83,7 +83,7 @@ def test_windows_follow_the_targets():
 
 
 def test_shares_of_a_table_sorted_by_source(spark):
-    rows = [(n, "some words of a text " * (1 + n % 5), source) for source in "abc" for n in range(1500)]
+    rows = [(n, "some words of a text " * (10 + n % 50), source) for source in "abc" for n in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
     for frame in (docs, docs.coalesce(1)):
         windows = {}
