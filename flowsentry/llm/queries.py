@@ -14,6 +14,7 @@ from flowsentry.llm.htmlblocks import extract
 from flowsentry.llm.licences import scan
 from flowsentry.llm.nearcopies import near_copies
 from flowsentry.llm.packing import pack
+from flowsentry.llm.periodicity import periodic_runs, planted, run_digests
 from flowsentry.llm.quality import fit_quality, score_quality
 from flowsentry.llm.sharding import shard
 from flowsentry.llm.toxicity import fit_toxicity, score_toxicity
@@ -106,6 +107,12 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("bigint"))
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, after a periodic ending was planted in a tenth of them."""
+    return run_digests(periodic_runs(read(spark, folder, "documents"), change=planted))
+
+
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
