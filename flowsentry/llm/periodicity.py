@@ -171,14 +171,12 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         if change is not None:
             words = [change(w, k) for w, k in zip(words, batch.column("key").to_pylist())]
         sizes = np.array([len(w) for w in words], np.int64)
-        ids, held = np.empty(int(sizes.sum()), np.int64), 0
-        at = 0
-        for w in words:
-            known = {}
-            for i, word in enumerate(w, at):
-                ids[i] = known.setdefault(word, held + len(known))
-            held, at = held + len(known), at + len(w)
         edges = np.concatenate([[0], np.cumsum(sizes)])
+        ids, held = np.empty(int(edges[-1]), np.int64), 0
+        for w, at in zip(words, edges.tolist()):
+            number = dict(zip(dict.fromkeys(w), range(held, held + len(w))))
+            ids[at:at + len(w)] = [number[x] for x in w]
+            held += len(number)
         found = [[] for _ in words]
         dropped = np.zeros(len(ids), bool)
         runs = runs_of(ids, int(sizes.max(initial=0)))
