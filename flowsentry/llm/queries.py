@@ -17,6 +17,7 @@ from flowsentry.llm.packing import pack
 from flowsentry.llm.periodicity import periodic_runs, planted, run_digests
 from flowsentry.llm.quality import fit_quality, score_quality
 from flowsentry.llm.sharding import shard
+from flowsentry.llm.spelling import spelling_variants
 from flowsentry.llm.toxicity import fit_toxicity, score_toxicity
 from flowsentry.llm.urltrust import Rule, judge
 
@@ -107,6 +108,12 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("bigint"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents with the more frequent spelling that each may be meant for."""
+    return spelling_variants(read(spark, folder, "documents"))
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The periodic runs of every document, after a periodic ending was planted in a tenth of them."""
@@ -129,3 +136,27 @@ t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY i
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(hex, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+# crc32 byte by byte: a table of 256 remainders, then one step for each byte of the UTF-8 text (at most two a letter).
+ORACLES["op11_spelling_variants"] = """WITH RECURSIVE
+t AS (SELECT list_transform(range(0, 256), lambda x: list_reduce(list_prepend(x, range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+d AS (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM d GROUP BY ALL),
+b AS (SELECT doc_id, run, n, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM b, t),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word AS a, y.word AS b, y.n AS n FROM s x JOIN s y ON x.i = y.i AND x.short = y.short AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM s x JOIN w y ON x.short = y.word
+  UNION SELECT y.word, x.word, x.n FROM s x JOIN w y ON x.short = y.word),
+q AS (SELECT a, count(*) AS n_near, max(n) AS top, arg_min(b, (-n, b)) AS best FROM p GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN best END AS form,
+  CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM w LEFT JOIN q ON q.a = w.word),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL),
+e AS (SELECT c.word, c.at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)"""
