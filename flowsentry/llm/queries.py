@@ -12,6 +12,7 @@ from flowsentry.llm.decontaminate import find_hits
 from flowsentry.llm.fingerprints import fingerprints
 from flowsentry.llm.htmlblocks import extract
 from flowsentry.llm.licences import scan
+from flowsentry.llm.lmscore import lm_scores
 from flowsentry.llm.nearcopies import near_copies
 from flowsentry.llm.packing import pack
 from flowsentry.llm.periodicity import periodic_runs, planted, run_digests
@@ -120,6 +121,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(periodic_runs(read(spark, folder, "documents"), change=planted))
 
 
+@query
+def op13_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of every document after the training documents, by counts and by context mixing."""
+    return lm_scores(read(spark, folder, "documents"))
+
+
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
