@@ -1,5 +1,8 @@
+import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.llm.htmlblocks import extract, main_text, second_pass
@@ -105,6 +108,43 @@ def test_texts_in_other_languages():
         assert main_text(page) == f"{text.strip()}\n{text.strip()}"
 
 
+def test_no_page_ends_the_job():
+    rng = random.Random(3)
+    pieces = ["<![foo[x]]>", "<![CDATA[a", "<!", "<?", "<", ">", "</", "</>", "<p", "<a href=\"", "'", "<script>", "</script", "<title>", "<!--", "-->", "<br/>",
+              "&amp", "&#0;", "&#xFFFFFFF;", "text ", "\x00", "<div class='ad x' id=", "<main", "<svg/>", "<noscript>", "</body>", "<td>", "<TABLE>", "=", "/", "É", "İ"]
+    for _ in range(4000):
+        assert "\n\n" not in main_text("".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))))
+    assert main_text(f"<![foo[x]]><p>{PROSE}</p><![CDATA[abc<p>more</p>") == PROSE.strip() + "\nmore"
+
+
+def test_what_is_left_open_hides_nothing():
+    for start in ("<html><head><title>T</title><body>", "<html><head><title>T<body>", "<head><meta charset=x><title>T</title>", "<noscript>Turn it on",
+                  "<head><script>var x;</script><link rel=x>"):
+        assert main_text(f"{start}<article><h1>Headline</h1><p>{PROSE}</p></article>").split("\n")[-2:] == ["Headline", PROSE.strip()]
+    assert main_text(f"<noscript><p>{PROSE}</p></noscript><article><p>One.</p></article>") == "One."
+
+
+def test_names_of_comments_and_adverts_in_any_writing():
+    names = """reader-comments user-comments comment-thread ad-slot ad-unit adsbygoogle sponsored-content cookieConsent siteFooter share-this
+        related-content newsletter-cta commentsList side_bar-Sidebar""".split()
+    for name in names:
+        for page in (f"<article><h1>Headline</h1><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div></article>",
+                     f"<article><h1>Headline</h1><p>{PROSE}</p></article><div id='{name}'><p>{PROSE}</p><p>Yes</p></div>"):
+            assert main_text(page) == f"Headline\n{PROSE.strip()}", name
+    for name in ("no-sidebar", "has-ads", "related-work", "social-impact", "roads", "download", "shared-values"):
+        assert main_text(f"<article><h1>Headline</h1><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div></article>").count("cat sat") == 6, name
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 40_000 + "x", "<div class=ad>" * 40_000 + f"<p>{'cat ' * 90}", "<a href=\"" * 20_000, "<p>" * 40_000, "<b>" * 20_000 + "</i>" * 20_000,
+    "<i>" * 20_000 + "<li>" * 20_000, "<div><b>" * 20_000 + "<li>x" * 20_000, "</section>" * 40_000, "<!--" * 40_000, "<![" * 40_000, "<a x='" * 20_000,
+    "<noscript><p>" * 20_000, "<script>" * 20_000, "<article>" * 20_000 + "<p>x" * 5000, "=" * 90_000 + "<p " + "=" * 90_000 + "/>", "<" * 90_000])
+def test_time_follows_length(page):
+    begin = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - begin < 3
+
+
 def test_second_pass_asks_the_nearest_decided_blocks():
     assert second_pass(["good", "short", "good"], [False] * 3) == [True, True, True]
     assert second_pass(["bad", "near good", "bad"], [False] * 3) == [False] * 3
