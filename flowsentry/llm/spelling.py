@@ -34,8 +34,12 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 SHORTEST, RAREST, TIMES = 6, 5, 5
 GROUPS = 16
+# Code points are grouped by their remainder; groups of common letters come first, so that first levels differ.
+COMMON = (5, 1, 14, 9, 2, 4, 3, 15, 12, 8, 7, 13, 0, 6, 11, 10)
+LEVELS = [COMMON.index(group) for group in range(GROUPS)]
 GROUP_WORDS = 20_000
-_DIRECT = 256
+_DIRECT, _PLAIN = 256, 64
+_CELLS = 1 << 14
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
 
@@ -43,7 +47,7 @@ def vector(word: str) -> list[int]:
     """How many letters of each group the word has."""
     counts = [0] * GROUPS
     for c in word:
-        counts[ord(c) % GROUPS] += 1
+        counts[LEVELS[ord(c) % GROUPS]] += 1
     return counts
 
 
@@ -101,15 +105,15 @@ def one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:]
 
 
-def _short_hashes(word: str) -> list[int]:
-    """A hash of the word without each of its letters; the last is that of the whole word."""
-    ends = [0]
-    power = 1
+def _shortened(word: str) -> list:
+    """The word without each of its letters, and the whole word; hashes of them for long words."""
+    if len(word) <= _PLAIN:
+        return [word[:i] + word[i + 1:] for i in range(len(word))] + [word]
+    ends, power = [0], 1
     for c in reversed(word):
         ends.append((ends[-1] + ord(c) * power) % _PRIME)
         power = power * _BASE % _PRIME
-    out, begin, power = [], 0, pow(_BASE, len(word) - 2, _PRIME)
-    step = pow(_BASE, _PRIME - 2, _PRIME)
+    out, begin, power, step = [], 0, pow(_BASE, len(word) - 2, _PRIME), pow(_BASE, _PRIME - 2, _PRIME)
     for i, c in enumerate(word):
         out.append((begin + ends[len(word) - 1 - i]) % _PRIME)
         begin = (begin + ord(c) * power) % _PRIME
@@ -120,19 +124,18 @@ def _short_hashes(word: str) -> list[int]:
 def _verified(seek: list[str], leaf: list[str]) -> Iterator[tuple[str, str]]:
     """Pairs one edit apart of two lists. Long lists meet by what is left when a letter is deleted."""
     if len(seek) * len(leaf) <= _DIRECT:
-        for a in seek:
-            for b in leaf:
-                if one_edit(a, b):
-                    yield a, b
+        yield from ((a, b) for a in seek for b in leaf if one_edit(a, b))
         return
     meeting = defaultdict(set)
     for b in leaf:
-        *holes, _ = _short_hashes(b)
+        *holes, _ = _shortened(b)
         for i, short in enumerate(holes):
             meeting[len(b), i, short].add(b)
             meeting[len(b), -1, short].add(b)
     for a in seek:
-        *holes, whole = _short_hashes(a)
+        *holes, whole = _shortened(a)
+        if len(a) == _PLAIN:  # longer words are met by hashes
+            whole = _shortened(a + " ")[-2]
         keys = [(len(a), i, short) for i, short in enumerate(holes)] + [(len(a) + 1, -1, whole)]
         yield from ((a, b) for key in keys for b in meeting.get(key, ()) if one_edit(a, b))
 
@@ -153,6 +156,22 @@ class Trie:
         todo = [(0, len(self.words), self.level, np.arange(len(seek)), spare)]
         while todo:
             low, high, level, at, spare = todo.pop()
+            if (high - low) * len(at) <= _CELLS and level < GROUPS:
+                # few words: all that is left of their vectors at once
+                step = self.counts[None, low:high, level:] - wanted[at, None, level:]
+                more, less = np.maximum(step, 0).sum(axis=2), np.maximum(-step, 0).sum(axis=2)
+                left = spare[:, None]
+                fits = np.where(left == 2, (more <= 1) & (less <= more) & ((less == 0) | (step.argmax(axis=2) < step.argmin(axis=2))),
+                                (more == 0) & (less <= left))
+                both_ways = (spare[:, None] == 2) & (more == 0)  # equal vectors: found from both sides
+                rows, columns = np.nonzero(fits)
+                asking = [seek[i] for i in at.tolist()]
+                for i, j, twice in zip(rows.tolist(), columns.tolist(), both_ways[rows, columns].tolist()):
+                    a, b = asking[i], self.words[low + j]
+                    half = len(a) // 2  # the edit leaves one half as it is
+                    if (a[:half] == b[:half] or a[half:] == b[len(b) - len(a) + half:]) and (not twice or a < b) and one_edit(a, b):
+                        yield a, b
+                continue
             if level == GROUPS:
                 leaf = self.words[low:high]
                 same = spare == 2  # equal vectors: found from both sides
@@ -203,7 +222,7 @@ def near_pairs(words: DataFrame, word_column: str = "word", group_words: int = G
     part = F.when(F.col("held"), F.array(F.pmod(F.xxhash64("word"), "parts").cast("int"))) \
         .otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = sent.join(parts, "first").select("first", F.explode(part).alias("part"), "word", "held", "spare")
-    tasks = max(2 * spark.sparkContext.defaultParallelism, count // group_words)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, count // group_words)
     sliced = dealt.repartition(tasks, "first", "part").sortWithinPartitions("first", "part", F.col("held").desc())
 
     def search(batches):

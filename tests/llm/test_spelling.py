@@ -54,8 +54,10 @@ def test_one_edit():
             assert one_edit(a, b) == (plain_edit(a, b) and len(a) <= len(b))
 
 
-def test_budget_reaches_every_longer_or_equal_neighbour_once():
+@pytest.mark.parametrize("cells", [None, 0])
+def test_budget_reaches_every_longer_or_equal_neighbour_once(monkeypatch, cells):
     words = some_words(4, 400)
+    assert cells is None or not monkeypatch.setattr("flowsentry.llm.spelling._CELLS", cells)
     found = list(Trie(words, 0).near(words, np.full(len(words), 2)))
     assert len(found) == len(set(found)) == len({frozenset(x) for x in found})
     assert {frozenset(x) for x in found} == {frozenset((a, b)) for a in words for b in words if plain_edit(a, b)}
@@ -68,6 +70,8 @@ def test_first_counts_within_reach():
 
 
 def test_long_lists_at_a_leaf():
+    around = ["z" * 64, "z" * 65, "z" * 63, *some_words(1, 400)]
+    assert {p for p in _verified(around[:3], around) if "z" in p[0]} == {("z" * 63, "z" * 64), ("z" * 64, "z" * 65)}
     assert ('x' * 90_000, 'x' * 90_001) in set(_verified(['x' * 90_000] * 2, ['x' * 90_001, *some_words(1, 400)]))
     words = some_words(5, 3000, "ab", (9, 10))
     pairs = {(a, b) for a, b in _verified(words, words)}
