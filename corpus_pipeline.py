@@ -17,6 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsentry.llm.batches import fresh
 from flowsentry.llm.decontaminate import remove_hits
 from flowsentry.llm.nearcopies import near_copies, text_key
 from flowsentry.llm.packing import pack
@@ -42,18 +43,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     best = F.min(F.struct(no_id.alias("without"), F.col("doc_id").alias("id"), F.col("text_key").alias("own")))
     kept = near_copies(docs, keys=True).groupBy("class_key").agg(best.alias("best")) \
         .select("best.own", "best.without", F.coalesce("best.id", F.lit(0)).alias("place"))
-    rows = docs.withColumns({"own": text_key("text"), "without": no_id, "place": F.coalesce("doc_id", F.lit(0))})
     key = ["own", "without", "place"]
-    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), text_key("text").alias("own"), no_id.alias("without"),
+                       F.coalesce("doc_id", F.lit(0)).alias("place"))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that benchmark windows cover."""
-    cut = remove_hits(docs.withColumn("before", F.xxhash64("text")), read(spark, sf_dir, "benchmark"))
-    changed = ~F.col("before").eqNullSafe(F.xxhash64("text"))
+    before = fresh(docs, "before")
+    cut = remove_hits(docs.withColumn(before, F.xxhash64("text")), read(spark, sf_dir, "benchmark"))
+    changed = ~F.col(before).eqNullSafe(F.xxhash64("text"))
     has_word = F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     length = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.filter(~changed | has_word).withColumn("n_chars", length).select(docs.columns)
+    return cut.filter(~changed | has_word).withColumn("n_chars", length).drop(before)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

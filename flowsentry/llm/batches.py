@@ -28,6 +28,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_chunks(df: DataFrame, column: str, schema: str | T.StructType,
                work: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """Apply `work` to every slice; it returns the output columns by name."""

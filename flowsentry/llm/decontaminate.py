@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.batches import map_chunks
+from flowsentry.llm.batches import fresh, map_chunks
 from flowsentry.llm.fmindex import FMIndex
 from flowsentry.llm.words import FOLD, encoded, word_places
 from flowsentry.session import checkpointed
@@ -146,6 +146,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     for part, more in with_more(slices(benchmark, item_column, item_text)):
         shared = docs.sparkSession.sparkContext.broadcast(part)
         rows = map_chunks(rows, "text", kind, _pass(shared, window, more))
+        if more:  # one slice at a time: else every task would hold the workers and windows of all of them
+            rows = checkpointed(rows)
+            shared.unpersist()
     return rows.drop("text")
 
 
@@ -196,7 +199,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text"
     Cutting may bring words together that form a window again; a text is searched and cut until none is left. With a
     benchmark of several slices that takes further rounds over the rows until no text changes any more.
     """
-    mark = "__cut"
+    mark = fresh(docs, "cut")
     rows = docs.withColumn(mark, F.lit(False))
     while True:
         rows, several = rows.withColumn(mark, F.lit(False)), False
@@ -204,6 +207,9 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text"
             several = several or more
             shared = docs.sparkSession.sparkContext.broadcast(part)
             rows = map_chunks(rows, text_column, rows.schema, _cut(shared, window, text_column, mark))
+            if more:
+                rows = checkpointed(rows)
+                shared.unpersist()
         if not several:
             return rows.drop(mark)
         rows = checkpointed(rows)

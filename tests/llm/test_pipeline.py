@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -7,7 +8,7 @@ from flowsentry.llm.queries import QUERIES
 from .conftest import FOLDER, ODD
 from .test_decontamination import brute
 
-NAMES = [f"op{n}_" for n in range(1, 11)]
+NAMES = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_registered():
@@ -22,7 +23,10 @@ CONTRACTS = {
     "op5_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op6_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op7_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op8_toxicity": "doc_id held_out score predicted",
-    "op9_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next"}
+    "op9_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_lm_scores": "doc_id held_out n_tokens n_known train_tokens base_score score"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,7 +34,7 @@ def test_queries_return_the_agreed_columns(spark, name):
     found = contract.queries()[name](spark, FOLDER)
     table = "pages" if name in ("op3_url_trust", "op4_main_text") else "documents"
     assert set(CONTRACTS.get(name, "doc_id").split()) <= set(found.columns)
-    if name != "op5_packing":
+    if name not in ("op5_packing", "op11_spelling_variants"):
         assert found.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 
 
@@ -63,5 +67,15 @@ def test_odd_rows_pass_every_stage(spark, docs):
         assert stage(spark, odd.limit(0), FOLDER).count() == 0
 
 
+def test_stages_keep_columns_with_any_name(spark, docs):
+    words = [f"word{i}" for i in range(40)]
+    plain = docs((1, " ".join(words)), (2, " ".join(words)), (3, "another text"), (None, "without an id"))
+    clashing = plain.select("doc_id", "text", "lang", "source", "n_chars", *(
+        F.lit(f"kept {c}").alias(c) for c in ("own", "without", "place", "before", "cut", "row", "best", "key", "Before_")))
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        rows = stage(spark, clashing, FOLDER).collect()
+        assert rows and all(r[c] == f"kept {c}" for r in rows for c in clashing.columns[5:]), name
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
