@@ -54,10 +54,19 @@ def test_propagation_equals_plain_iteration(spark):
         total = {}
         for s, _, n in along:
             total[s] = total.get(s, 0) + n
-        for _ in range(12):
-            level = {h: 0.3 * start.get(h, 0) + 0.7 * sum(level.get(s, 0) * n / total[s] for s, t, n in along if t == h)
-                     for h in "abcd"}
-        assert all(abs((found[h][kind] if h in found else 0) - level[h]) < 1e-12 for h in "abcd")
+        whole = sum(start.values())
+        for _ in range(200):
+            moved = {h: 0.7 * sum(level.get(s, 0) * n / total[s] for s, t, n in along if t == h) for h in "abcd"}
+            level = {h: moved[h] + (whole - sum(moved.values())) * start.get(h, 0) / whole for h in "abcd"}
+        assert all((found[h][kind] if h in found else 0) == pytest.approx(level[h], rel=1e-5) for h in "abcd")
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(40)] + [(f"h{i}", f"x{i}", 3) for i in range(0, 40, 7)]
+    found = {r.host: r for r in propagate(spark.createDataFrame(edges, "source string, target string, links long"),
+                                          spark.createDataFrame([("h40", 0.0, 1.0), ("good", 1.0, 0.0)], "host string, trust double, distrust double")).collect()}
+    assert all(found[f"h{i}"].distrust > found[f"h{i - 1}"].distrust > 0 for i in range(1, 41)) and "x7" not in found
+    assert sum(r.distrust for r in found.values()) == pytest.approx(1) and found["good"].trust == pytest.approx(1)
 
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p>";</script></head><body>
