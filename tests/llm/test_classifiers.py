@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,10 +59,30 @@ def test_toxicity_on_held_out_documents(spark):
     rows = score_toxicity(docs, model).filter("held_out").join(labels, "doc_id").collect()
     caught = [r.predicted for r in rows if r.toxic == 1]
     wrong = [r.predicted for r in rows if r.toxic == 0]
-    assert sum(caught) / len(caught) > 0.7 and sum(wrong) / len(wrong) < 0.02
+    assert sum(caught) / len(caught) >= 0.9 and sum(caught) / (sum(caught) + sum(wrong)) >= 0.9
     assert keep_civil(docs, model).count() == score_toxicity(docs, model).filter("predicted = 0").count()
 
 
+def test_ratios_equal_a_recount(spark, monkeypatch):
+    """Features and their weights follow from how many toxic and other texts have each slot."""
+    texts = [(i, ("awful stupid " if i % 4 == 0 else "kind gentle ") + f"word{i % 7} and more", int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    kept = [(t, y) for i, t, y in texts if zlib.crc32(str(i).encode()) % 5]
+    mark, found = np.zeros(SLOTS, np.int64), np.zeros((2, SLOTS))
+    for t, y in kept:
+        found[y, slots_of(t, mark)] += 1
+    size = [sum(y == k for _, y in kept) for k in (0, 1)]
+    p, q = found[1] + 0.5, found[0] + 0.5
+    ratio = np.log(p / (size[1] + 1)) - np.log(q / (size[0] + 1))
+    strong = np.argsort(-np.abs(ratio / np.sqrt(1 / p + 1 / q)) - (found.sum(0) > 0) * 1e-9, kind="stable")[:20]
+    monkeypatch.setattr("flowsentry.llm.toxicity.FEATURES", 20)
+    model = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    used = np.flatnonzero(model.weight)
+    assert len(used) <= 20 and (found[:, used].sum(0) > 0).all()
+    assert np.abs(ratio[used]).min() >= np.abs(ratio[strong]).min() - 1e-9
+    assert (np.sign(model.weight[used]) == np.sign(ratio[used])).all()
+
+
 def test_slots_are_distinct_and_stable():
     mark = np.zeros(SLOTS, np.int64)
     once, again = slots_of("Some text, some text", mark), slots_of("some TEXT, some text", mark)
