@@ -50,7 +50,7 @@ def load_detectors(spark: SparkSession, folder: str, detectors: list[str] = DETE
 def save_anomaly_detector(detector: AnomalyDetector, spark: SparkSession, folder: str) -> None:
     detector.stages.write().overwrite().save(f"{folder}/anomaly/model")
     learnt = {"vector": detector.vector, "size": detector.size, "mean_error": detector.mean_error,
-              "std_error": detector.std_error, "threshold": detector.threshold}
+              "std_error": detector.std_error, "threshold": detector.threshold, "decodes": detector.decodes}
     _write_json(spark, learnt, f"{folder}/anomaly/metadata")
 
 

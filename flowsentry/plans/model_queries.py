@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from flowsentry.ml import anomaly as MA
 from flowsentry.ml import tuning as MT
 from flowsentry.ml.detectors import Settings, feature_importance, score, score_all
 from flowsentry.ml.features import assembler, feature_matrix
+from flowsentry.ml.network import Fitted, Network, NetworkModel
 from flowsentry.ml.vote import ensemble_vote
 from flowsentry.operators.filters import flow_to_session
-from flowsentry.operators.profile import stratified_folds
+from flowsentry.operators.profile import bounded_sample, stratified_folds
 from flowsentry.plans.detection import train_detectors, training_frame
 from flowsentry.plans.registry import KEY, Tables, register
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL, SESSION_FEATURES
@@ -127,13 +129,38 @@ def encoded_features(t: Tables) -> DataFrame:
     return MA.encoded_features(detector, rows, ["vec_id", "label"])
 
 
+def _session_rows(t: Tables) -> DataFrame:
+    wide = flow_to_session(t.flows, keep=[*KEY, FLOW_LABEL])
+    return assembler(SESSION_FEATURES, "features").transform(
+        wide.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in SESSION_FEATURES}))
+
+
+@register
+def session_autoencoder(t: Tables) -> DataFrame:
+    """The autoencoder on traffic, fitted on a bounded number of session rows of normal flows: score, threshold, verdict
+    and confidence of every flow."""
+    rows = _session_rows(t)
+    normal = bounded_sample(rows.filter(F.col(FLOW_LABEL) == "Normal"), FLOW_LABEL, KEY, Settings().fit_rows)
+    return MA.anomaly_verdicts(MA.fit_autoencoder(normal), rows, KEY)
+
+
+@register
+def convolution_forward(t: Tables) -> DataFrame:
+    """Class probabilities of every embedding by a small convolution network whose weights follow a rule."""
+    network = Network([["conv", 2], ["relu"], ["pool"], ["flat"], ["dense", 3]], 64)
+    weights = (np.arange(network.size) * 37 % 101 - 50) / 500
+    fixed = Fitted(network, weights, np.zeros(0))
+    rows = t.read("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    chances = vector_to_array("chances")
+    said = NetworkModel("features", "chances").holding(fixed, predictionCol="class").transform(rows)
+    return said.select("vec_id", *[F.round(chances[i], 6).alias(f"p{i}") for i in range(3)])
+
+
 @register
 def session_anomaly(t: Tables) -> DataFrame:
     """The anomaly detector on traffic: fitted on the session rows of normal flows, judging all of them, and whether
     each verdict is what its score, the threshold and the formula of its confidence say."""
-    wide = flow_to_session(t.flows, keep=[*KEY, FLOW_LABEL])
-    rows = assembler(SESSION_FEATURES, "features").transform(
-        wide.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in SESSION_FEATURES}))
+    rows = _session_rows(t)
     detector = MA.fit_anomaly_detector(rows.filter(F.col(FLOW_LABEL) == "Normal"))
     found = MA.anomaly_verdicts(detector, rows, KEY)
     over = F.col("anomaly_score") > F.col("threshold")

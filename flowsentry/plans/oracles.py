@@ -504,3 +504,18 @@ FROM n GROUP BY src_ip, session""",
     "stream_blocklist": _with(PREDICTIONS) + """SELECT DISTINCT source_ip AS ip FROM predictions
   WHERE upper(prediction) NOT IN ('NORMAL', 'SAFE')""",
 }
+
+
+def _rule_weight(index: str) -> str:
+    return f"((37 * ({index})) % 101 - 50) / 500.0::DOUBLE"
+
+
+ORACLES["convolution_forward"] = f"""WITH e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest([0, 1]) AS f FROM embeddings),
+h AS (SELECT vec_id, f, list_transform(range(1, 65), lambda i: greatest(0.0::DOUBLE, {_rule_weight("6 + f")}
+  + coalesce(x[i - 1], 0.0::DOUBLE) * {_rule_weight("f")} + x[i] * {_rule_weight("2 + f")}
+  + coalesce(x[i + 1], 0.0::DOUBLE) * {_rule_weight("4 + f")})) AS h FROM e),
+p AS (SELECT vec_id, f, i, greatest(h[2 * i - 1], h[2 * i]) AS v FROM h, (SELECT unnest(range(1, 33)) AS i)),
+o AS (SELECT vec_id, j, exp(sum(v * {_rule_weight("8 + (2 * (i - 1) + f) * 3 + j")}) + {_rule_weight("200 + j")}) AS o
+  FROM p, (SELECT unnest([0, 1, 2]) AS j) GROUP BY vec_id, j)
+SELECT vec_id, """ + ", ".join(f"round(max(o) FILTER (j = {j}) / sum(o), 6) AS p{j}" for j in range(3)) + " FROM o GROUP BY vec_id"
