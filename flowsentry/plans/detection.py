@@ -23,6 +23,7 @@ from flowsentry.operators.ordering import rank_rows
 from flowsentry.operators.profile import bounded_sample, stratified_split
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
 from flowsentry.session import checkpointed
+from flowsentry.sources.alert_table import AlertTable
 
 
 def training_frame(flows: DataFrame, key: list[str]) -> DataFrame:
@@ -82,12 +83,13 @@ def predict_flows(flows: DataFrame, models: dict[str, PipelineModel], keep: list
 
 
 def detect(packets: DataFrame, predict: Callable[[DataFrame, list[str]], DataFrame],
-           blocklist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+           blocklist: DataFrame, into: AlertTable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From packets to predictions, numbered alerts and the blocklist they lead to.
 
     `predict` takes flows and the columns to keep and gives one prediction per flow, for example
     `partial(predict_flows, models=...)`. Predictions and alerts are each computed once and kept on shared storage.
-    An alert carries the time of its flow's last packet and the next free number in that order.
+    An alert carries the time of its flow's last packet and the next free number in that order: from 1 on, or, with an
+    alert table to put them into, after those of all earlier calls.
     """
     flows = flow_features(captured(packets), last_seen=True)
     key = ["SrcIP", "DstIP", "SrcPort", "DstPort"]
@@ -96,5 +98,10 @@ def detect(packets: DataFrame, predict: Callable[[DataFrame, list[str]], DataFra
     kept = ["ts", *[f"flow_{c}" for c in key], "flow_Protocol"]
     predictions = checkpointed(predict(named, kept))
     raised = alerts_from_predictions(predictions, kept)
-    alerts = rank_rows(raised, [F.col(c).asc() for c in kept], "id")
+    if into is None:
+        alerts = rank_rows(raised, [F.col(c).asc() for c in kept], "id")
+    else:
+        first, past = into.append(raised)
+        alerts = into.read().filter((F.col("id") >= first) & (F.col("id") < past)) if past > first else \
+            raised.limit(0).withColumns({"id": F.lit(0).cast("bigint"), "acknowledged": F.lit(False)})
     return predictions, alerts, block(blocklist, auto_blocklist(alerts), "ip")

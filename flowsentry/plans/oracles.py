@@ -519,3 +519,6 @@ p AS (SELECT vec_id, f, i, greatest(h[2 * i - 1], h[2 * i]) AS v FROM h, (SELECT
 o AS (SELECT vec_id, j, exp(sum(v * {_rule_weight("8 + (2 * (i - 1) + f) * 3 + j")}) + {_rule_weight("200 + j")}) AS o
   FROM p, (SELECT unnest([0, 1, 2]) AS j) GROUP BY vec_id, j)
 SELECT vec_id, """ + ", ".join(f"round(max(o) FILTER (j = {j}) / sum(o), 6) AS p{j}" for j in range(3)) + " FROM o GROUP BY vec_id"
+
+ORACLES["alert_table_calls"] = _with(ALERTS) + """SELECT row_number() OVER (ORDER BY (id - 1) % 3, ts, id) AS id, id - 1 AS event_id, ts,
+  type, severity, (id - 1) % 5 = 0 AS acknowledged FROM alerts"""

@@ -27,6 +27,7 @@ from flowsentry.operators import reports as RP
 from flowsentry.operators import toplists as TP
 from flowsentry.schemas import DETECTORS, FLOW_FEATURES, FLOW_LABEL
 from flowsentry.session import prepare
+from flowsentry.sources.alert_table import AlertTable
 from flowsentry.sources import derived as D
 from flowsentry.sources.tables import table
 
@@ -186,6 +187,19 @@ def alerts_acknowledge(t: Tables) -> DataFrame:
     return AL.acknowledge(t.alerts, seen).select("id", "acknowledged")
 
 
+@register
+def alert_table_calls(t: Tables) -> DataFrame:
+    """An alert table filled by three calls, acknowledged between them and compacted: ids go on where they were."""
+    table = AlertTable(t.spark, order=("ts", "event_id"))
+    rows = t.alerts.withColumn("event_id", F.col("id") - 1)
+    for part in range(3):
+        table.append(rows.filter(F.pmod("event_id", F.lit(3)) == part))
+        table.acknowledge(table.read().filter((F.col("event_id") % 5 == 0)))
+        if part == 1:
+            table.compact()
+    return table.read().select("id", "event_id", "ts", "type", "severity", "acknowledged")
+
+
 # --- joins ---
 
 @register

@@ -256,3 +256,14 @@ def test_detection_with_fitted_models_from_packets_to_blocklist(spark, models):
     assert predictions.count() > danger and alerts.count() == danger
     assert sorted(r.id for r in alerts.collect()) == list(range(1, danger + 1))
     assert {r.ip for r in listed.collect()} == {"9.9.9.9"} | {r.source_ip for r in alerts.collect()}
+
+    from flowsentry.sources.alert_table import AlertTable
+
+    order = ("ts", *(f"flow_{c}" for c in ("SrcIP", "DstIP", "SrcPort", "DstPort", "Protocol")))
+    table_ = AlertTable(spark, order=order)
+    ids = []
+    for _ in range(2):
+        _, found, more = detect(packets, lambda flows, keep: predict_flows(flows, models, keep), blocked, into=table_)
+        ids.append(sorted(r.id for r in found.collect()))
+    assert ids == [list(range(1, danger + 1)), list(range(danger + 1, 2 * danger + 1))]
+    assert more.exceptAll(listed).count() == 0 and table_.read().count() == 2 * danger
