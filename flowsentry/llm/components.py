@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.session import checkpointed, shuffles_removed
 
+_BROADCASTS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+ROWS_A_TASK = 200_000
+
+
+@contextmanager
+def no_broadcasts(spark: SparkSession):
+    """Queries made and run in this block join by shuffles only: the driver builds no hash tables, of which a loop of
+    small joins would leave dozens behind, each of a page of memory or more."""
+    before = {name: spark.conf.get(name, None) for name in _BROADCASTS}
+    try:
+        for name in _BROADCASTS:
+            spark.conf.set(name, "-1")
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """A checkpointed table in as many partitions as its rows ask for, so that a small one read in a loop of jobs doesn't
+    start a task for each of many nearly empty partitions."""
+    parts = df.rdd.getNumPartitions()
+    if parts <= 1:
+        return df
+    with shuffles_removed(df.sparkSession):
+        return df.coalesce(min(parts, df.count() // ROWS_A_TASK + 1))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b); a component is named by its smallest node.
 
     Null ends and self links name no component of their own. An empty table gives an empty result.
     """
-    edges = checkpointed(links.filter("a < b or b < a").select(
-        F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).distinct())
+    edges = few_tasks(checkpointed(links.filter("a < b or b < a").select(
+        F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).distinct()))
     # every link as (larger, smaller); finished when no node points to two others and no target points on
     while True:
         large = _star(edges.union(edges.select(F.col("to").alias("node"), F.col("node").alias("to"))), larger=True)
-        edges = checkpointed(_star(large, larger=False))
+        edges = few_tasks(checkpointed(_star(large, larger=False)))
         doubled = edges.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         onward = edges.select("to").distinct().join(edges.select(F.col("node").alias("to")), "to", "left_semi")
         with shuffles_removed(links.sparkSession):

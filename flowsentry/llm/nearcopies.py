@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from flowsentry.llm.bagminhash import signatures
 from flowsentry.llm.batches import map_chunks
-from flowsentry.llm.components import components
+from flowsentry.llm.components import components, few_tasks, no_broadcasts
 from flowsentry.llm.words import encoded, mixed, shingles
 from flowsentry.session import checkpointed
 
@@ -69,6 +69,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     With `keys` also the text's own key (`text_key`) and its class's, which rows without an id have too.
     """
+    with no_broadcasts(docs.sparkSession):
+        return _classes(docs, id_column, text_column, words, similarity, bands, rows, keys)
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str, words: int, similarity: float, bands: int, rows: int,
+             keys: bool) -> DataFrame:
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     keyed = texts.withColumn("key", F.unhex(F.md5("text")))
     id_kind = texts.schema["id"].dataType
@@ -93,19 +99,21 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     pairs = active.filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     compared = checkpointed(_verified(pairs, bags))
     links = compared.filter(F.col("shared") >= similarity * F.col("joint"))
-    classes = checkpointed(components(links.select("a", "b")))
+    classes = few_tasks(checkpointed(components(links.select("a", "b"))))
 
     open_nodes = _unsettled(active, compared, classes, similarity)
-    rare = checkpointed(_prefixes(bags.join(open_nodes, "key", "left_semi"), similarity))
+    rare = few_tasks(checkpointed(_prefixes(bags.join(open_nodes, "key", "left_semi"), similarity)))
     done = compared.select("a", "b")
     for count in (HUBS, None):
         pairs = _across(rare, classes, count, similarity).join(done, ["a", "b"], "left_anti")
-        compared = checkpointed(_verified(pairs, bags))
-        found = checkpointed(compared.filter(F.col("shared") >= similarity * F.col("joint")).select("a", "b"))
-        links, done = links.select("a", "b").union(found), done.union(compared.select("a", "b"))
+        compared = few_tasks(checkpointed(_verified(pairs, bags)))
+        found = compared.filter(F.col("shared") >= similarity * F.col("joint")).select("a", "b")
+        done = done.union(compared.select("a", "b"))
+        if found.limit(1).count() == 0:
+            continue  # the classes stay as they are
         # the classes so far and the new links between them are all that later classes depend on
         known = classes.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        classes = checkpointed(components(known.union(found)))
+        classes = few_tasks(checkpointed(components(known.union(found))))
 
     named = nodes.select("key", "copy_of").join(classes.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))
