@@ -44,7 +44,7 @@ def test_query_equals_its_sql(spark, db, name):
 def test_every_query_without_sql_fits_a_model():
     assert sorted(MODELS) == ["cv_f1", "encoded_features", "ensemble_ml", "feature_importance",
                               "gbt_predictions", "mlp_predictions", "pca_anomaly", "rf_grid",
-                              "rf_predictions", "svm_predictions"]
+                              "rf_predictions", "session_autoencoder", "svm_predictions"]
 
 
 @pytest.mark.parametrize("name", ["pca_anomaly", "encoded_features", "rf_predictions", "feature_importance"])
