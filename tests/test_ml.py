@@ -267,3 +267,62 @@ def test_detection_with_fitted_models_from_packets_to_blocklist(spark, models):
         ids.append(sorted(r.id for r in found.collect()))
     assert ids == [list(range(1, danger + 1)), list(range(danger + 1, 2 * danger + 1))]
     assert more.exceptAll(listed).count() == 0 and table_.read().count() == 2 * danger
+
+
+def test_quick_scoring_gives_what_the_fitted_stages_give(split, models):
+    from pyspark.ml.functions import vector_to_array
+
+    from flowsentry.ml.batched import quick
+
+    once = split.join(split.groupBy(*D.FLOW_ROW_KEY).count().filter("count = 1"), D.FLOW_ROW_KEY, "left_semi")
+    for detector, stages, near in (("random_forest", 5, 0.0), ("svm", 5, 1e-9)):
+        said = score(models[detector], once, detector, probabilities=True)
+        assert len(quick(models[detector], split.sparkSession).stages) == stages
+        plain = models[detector].transform(once).select(
+            *D.FLOW_ROW_KEY, F.col(detector).alias("plain"), vector_to_array(f"_{detector}_prob").alias("chances"))
+        gap = F.array_max(F.zip_with("chances", f"{detector}_probabilities", lambda x, y: F.abs(x - y)))
+        found = said.join(plain, D.FLOW_ROW_KEY).agg(
+            F.count("*").alias("n"), F.max(gap).alias("gap"), F.count_if(F.col(detector) != F.col("plain")).alias("other")).first()
+        assert found.n > 1000 and found.gap <= near and found.other == 0
+    assert models["svm"].stages[3].getOrDefault("size") == TINY.fourier_size  # saved models stay as they were
+
+
+def test_scoring_trees_and_networks_agrees_with_training(split, models):
+    import numpy as np
+
+    from flowsentry.ml.boosting import Trees
+    from flowsentry.ml.network import Network, autoencoder_layers, convolution_layers
+
+    random = np.random.default_rng(3)
+    x = random.normal(size=(200, 9))
+    for layers in (convolution_layers(9, 4), autoencoder_layers(9), [["conv", 2], ["relu"], ["pool"], ["flat"], ["dense", 3]]):
+        network = Network(layers, 9)
+        weights, moments = network.start(1)
+        moments = np.abs(moments + random.normal(size=len(moments)))
+        for until in (None, 1, 2, 3):
+            assert np.allclose(network.output(weights, moments, x, until), network.forward(weights, moments, x, until=until)[0])
+    edges = [np.sort(random.normal(size=7)) for _ in range(9)]
+    asked = [np.where((np.arange(16) > 0) & (np.arange(16) < 8) & (random.random((3, 16)) < 0.8), random.integers(0, 9, (3, 16)), -1) for _ in range(5)]
+    trees = Trees(edges, 3, asked, [random.integers(0, 7, (3, 16)) for _ in range(5)], [random.normal(size=(3, 16)) for _ in range(5)])
+    want = np.zeros((200, 3))
+    for turn in range(5):
+        want += trees.added(trees.binned(x), turn)
+    assert np.array_equal(trees.scores(x), want)
+
+
+def test_bounded_samples_are_drawn_by_all_tasks(spark):
+    from flowsentry.operators.profile import gathered
+
+    rows = spark.range(0, 160, 1, 16).withColumn("task", F.spark_partition_id())
+    found = gathered(rows, 4)
+    assert found.rdd.getNumPartitions() == 4 and found.select("task").distinct().count() == 16 and found.count() == 160
+
+
+def test_grid_reads_a_fold_once_with_the_same_results(split, monkeypatch):
+    from flowsentry.ml import tuning as MT
+
+    train = split.filter("split = 'train'").select(*D.FLOW_ROW_KEY, *FLOW_FEATURES, FLOW_LABEL)
+    grid = {"numTrees": [2, 3], "maxDepth": [4, 25, 30]}
+    walked = MT.grid_search(train, grid, folds=2, key=D.FLOW_ROW_KEY, fit_rows=300)[0].collect()
+    monkeypatch.setattr(MT, "walk_of", lambda spark, model: None)
+    assert walked == MT.grid_search(train, grid, folds=2, key=D.FLOW_ROW_KEY, fit_rows=300)[0].collect()
