@@ -11,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Texts differ in length by orders of magnitude, so work is cut by bytes and not by rows.
 CHUNK_BYTES = 4 << 20
+# For work that makes many numbers of every byte.
+SMALL_CHUNK_BYTES = 1 << 20
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -37,14 +39,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def map_chunks(df: DataFrame, column: str, schema: str | T.StructType,
-               work: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
-    """Apply `work` to every slice; it returns the output columns by name."""
+               work: Callable[[pa.RecordBatch], dict[str, list]], limit: int = CHUNK_BYTES) -> DataFrame:
+    """Apply `work` to every slice of at most `limit` bytes; it returns the output columns by name."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches):
         arrow = to_arrow_schema(kind)
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, limit):
                 made = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.llm.bagminhash import signatures
-from flowsentry.llm.batches import map_chunks
+from flowsentry.llm.batches import SMALL_CHUNK_BYTES, map_chunks
 from flowsentry.llm.components import components, few_tasks, no_broadcasts
 from flowsentry.llm.words import encoded, mixed, shingles
 from flowsentry.session import checkpointed
@@ -85,7 +85,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, words: int, simi
 
     sketched = checkpointed(map_chunks(keyed, "text", T.StructType([
         T.StructField("id", id_kind), T.StructField("key", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType()))]), sketch))
+        T.StructField("bands", T.ArrayType(T.LongType()))]), sketch, SMALL_CHUNK_BYTES))
     nodes = checkpointed(sketched.groupBy("key").agg(
         F.min("id").alias("copy_of"), F.min_by("bands", F.coalesce(F.col("id").cast("string"), F.lit("")))
         .alias("bands")))
@@ -137,7 +137,7 @@ def _bags_of(keyed: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     def bag(batch: pa.RecordBatch) -> dict:
         return {"key": batch.column("key"), "items": counted_shingles(batch.column("text").to_pylist(), words)}
 
-    made = map_chunks(chosen.select("key", "text"), "text", "key binary, items array<bigint>", bag)
+    made = map_chunks(chosen.select("key", "text"), "text", "key binary, items array<bigint>", bag, SMALL_CHUNK_BYTES)
     return checkpointed(made.dropDuplicates(["key"]))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.batches import map_chunks
+from flowsentry.llm.batches import SMALL_CHUNK_BYTES, map_chunks
 from flowsentry.llm.folds import held_out, training_labels
 from flowsentry.llm.words import mixed
 from flowsentry.session import checkpointed
@@ -123,7 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     vector = F.udf(lambda held: Vectors.sparse(features, held, ratios[held]), VectorUDT())
     # toxic texts are rare: both classes count alike
     weight = F.when(F.col("label") > 0, other / toxic).otherwise(1.0)
-    table = map_chunks(sample, "text", "label int, features array<int>", present).select(
+    table = map_chunks(sample, "text", "label int, features array<int>", present, SMALL_CHUNK_BYTES).select(
         F.col("label").cast("double"), vector("features").alias("features"), weight.alias("weight")).persist()
     model = LogisticRegression(regParam=PENALTY, standardization=False, maxIter=60, tol=1e-7,
                                weightCol="weight").fit(table)
@@ -143,7 +143,7 @@ def score_toxicity(docs: DataFrame, model: Ratios, id_column: str = "doc_id", te
     def judge(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "score": shared.value.scores(batch.column("text").to_pylist())}
 
-    return map_chunks(rows, "text", kind, judge).select(
+    return map_chunks(rows, "text", kind, judge, SMALL_CHUNK_BYTES).select(
         F.col("doc_id").alias(id_column), held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -156,4 +156,4 @@ def keep_civil(docs: DataFrame, model: Ratios, text_column: str = "text", thresh
         kept = batch.filter(pa.array(shared.value.scores(batch.column(text_column).to_pylist()) < threshold))
         return {name: kept.column(name) for name in kept.schema.names}
 
-    return map_chunks(docs, text_column, docs.schema, judge)
+    return map_chunks(docs, text_column, docs.schema, judge, SMALL_CHUNK_BYTES)
