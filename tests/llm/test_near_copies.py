@@ -103,3 +103,23 @@ def test_odd_rows(docs, spark):
     same = near_copies(docs(*[(i, "one text that all of them have") for i in range(50)]))
     assert {r.class_id for r in same.collect()} == {0}
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).columns == ["doc_id", "class_id", "copy_of"]
+
+
+def test_small_loops_are_not_compiled_and_the_setting_comes_back(spark):
+    from flowsentry.llm.components import components, interpreted
+
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name, "true")
+    links = spark.createDataFrame([(1, 2), (3, 2), (7, 8), (9, 9)], "a long, b long")
+    with interpreted(spark, small=True):
+        assert spark.conf.get(name) == "false"
+    assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert spark.conf.get(name) == before
+
+
+def test_slices_hold_at_most_the_limit(spark):
+    from flowsentry.llm.batches import map_chunks
+
+    docs = spark.createDataFrame([("x" * 300,)] * 10 + [(None,), ("y" * 5000,)], "text string").coalesce(1)
+    sizes = map_chunks(docs, "text", "rows long", lambda batch: {"rows": [batch.num_rows]}, 1000)
+    assert [r.rows for r in sizes.collect()] == [3, 3, 3, 2, 1]
