@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.batches import chunks
+from flowsentry.llm.batches import SMALL_CHUNK_BYTES, chunks
 from flowsentry.llm.tokens import Encoder
 from flowsentry.session import checkpointed
 
@@ -146,11 +146,12 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in chunks(batch, "text"):
-                ids = encoder.encode(part.column("text").to_pylist(), CLOSING_ID)
                 out = []
-                for document, source, own in zip(part.column("doc_id").to_pylist(),
-                                                 part.column("source").to_pylist(), ids):
-                    mixer.add(queue_of(source), source, document, 0, own, len(own))
+                for small in chunks(part, "text", SMALL_CHUNK_BYTES):
+                    ids = encoder.encode(small.column("text").to_pylist(), CLOSING_ID)
+                    for document, source, own in zip(small.column("doc_id").to_pylist(),
+                                                     small.column("source").to_pylist(), ids):
+                        mixer.add(queue_of(source), source, document, 0, own, len(own))
                 out.extend(_row(base, piece) for piece in mixer.drain(WAITING * capacity))
                 if out:
                     yield _batch(out, kind)

@@ -14,7 +14,11 @@ REMEMBERED = 300_000
 
 # Letters with signs after them: two pre-tokens whatever the letters are. Words with an apostrophe (contractions) or
 # with the signs of special tokens are left to the whole tokenizer.
-_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:;=?@\[-`{}~]*)")
+_SIGNS = r"!-&(-/:;=?@\[-`{}~"
+_PLAIN = re.compile(rf"([^\W\d_]*)([{_SIGNS}]*)")
+# Of each byte: 1 for an ASCII letter, 2 for one of those signs. Between a 1 and a 2 there is always a pre-token's bound.
+_KINDS = np.array([1 if bytes([b]).isalpha() else 2 if b < 128 and re.match(f"[{_SIGNS}]", chr(b)) else 0 for b in range(256)],
+                  np.uint8)
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,7 +32,9 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids by a tokenizer file whose pre-tokenizer never joins text across a space or line end.
 
-    Texts are cut at spaces and line ends only; every other character, white space included, goes to the tokenizer.
+    Texts are cut at spaces, line ends, and between ASCII letters and plain signs only; every other character, white
+    space included, goes to the tokenizer. ASCII letters are lower-cased before that (the tokenizer does it too), so that
+    a word has few writings.
     """
 
     def __init__(self, path: str):
@@ -48,16 +54,21 @@ class Encoder:
         raw = [t.encode("utf-8") for t in texts]
         joined = b"\n".join(raw) + b"\n"
         data = np.frombuffer(joined, np.uint8)
-        ends = np.flatnonzero((data == 32) | (data == 10))
-        begins = np.concatenate([[0], ends[:-1] + 1])
+        if b"<|" not in joined:  # special tokens are case-sensitive
+            data = _lowered(data)
+        kinds, space = _KINDS.take(data), (data == 32) | (data == 10)
+        stop_here = space.copy()
+        stop_here[1:] |= kinds[1:] + kinds[:-1] == 3
+        ends = np.flatnonzero(stop_here)
+        begins = np.concatenate([[0], ends[:-1] + space[ends[:-1]]])
         # the bounds of each word lie next to each other, so an array of every other entry has the words alone
         bounds = np.empty(2 * len(ends) + 1, np.int64)
         bounds[0:-1:2], bounds[1::2], bounds[-1] = begins, ends, len(data)
         pieces = pa.Array.from_buffers(pa.large_binary(), 2 * len(ends), [None, pa.py_buffer(bounds),
-                                                                         pa.py_buffer(joined)])
+                                                                         pa.py_buffer(data)])
         words = pieces.take(pa.array(np.arange(0, 2 * len(ends), 2))).dictionary_encode()
         which = words.indices.to_numpy()
-        ids = self._ids(words.dictionary.to_pylist())
+        ids = self._ids(_listed(words.dictionary))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -75,18 +86,19 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        other = []
-        for w in words:
-            if w not in known:
-                ids = self._plain(w.decode("utf-8"))
-                if ids is None:
-                    other.append(w)
-                else:
-                    known[w] = ids
-        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other],
-                                                                add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-        return [known[w] for w in words]
+        found, other = list(map(known.get, words)), []
+        for place in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[place]
+            # ASCII letters stand for themselves
+            ids = self._model_ids(w.lower().decode()) if w.isalpha() else self._plain(w.decode("utf-8"))
+            if ids is None:
+                other.append(place)
+            else:
+                known[w] = found[place] = ids
+        whole = self.tokenizer.encode_batch_fast([words[i].decode("utf-8") for i in other], add_special_tokens=False)
+        for place, e in zip(other, whole):
+            known[words[place]] = found[place] = array("I", e.ids).tobytes()
+        return found
 
     def _plain(self, word: str) -> bytes | None:
         """Ids of letters and signs straight from the model; None for a word that needs the whole tokenizer."""
@@ -94,9 +106,23 @@ class Encoder:
         if not found or not (word.isascii() or found[1].lower().isalpha() and "\u03a3" not in word
                              and unicodedata.is_normalized("NFC", word)):
             return None
-        ids = []
-        for part in found.groups():
-            if part:
-                shown = part.lower().encode("utf-8").decode("latin-1").translate(self.letters)
-                ids.extend([t.id for t in self.model.tokenize(shown)])
-        return array("I", ids).tobytes()
+        return b"".join([self._model_ids(part.lower().encode("utf-8").decode("latin-1").translate(self.letters))
+                         for part in found.groups() if part])
+
+    def _model_ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+
+def _listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    """All words of an array without nulls, made sooner than by `to_pylist`."""
+    _, bounds, data = words.buffers()
+    at = np.frombuffer(bounds, np.int64, len(words) + 1, 8 * words.offset).tolist()
+    joined = data.to_pybytes() if data else b""
+    return [joined[a:b] for a, b in zip(at, at[1:])]
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case, but those before another alphabet's byte, with which they may make one character."""
+    upper = (data >= 65) & (data <= 90)
+    upper[:-1] &= data[1:] < 128
+    return data | (upper.view(np.uint8) << 5)

@@ -52,6 +52,14 @@ def test_ids_are_the_tokenizers():
     assert Encoder(PATH).encode([]) == []
 
 
+def test_a_word_is_encoded_once_however_it_is_written():
+    encoder = Encoder(PATH)
+    texts = ["And, and. AND! (and) --and", "and\nAnd;and", "H\u0331and", "<|ENDOFTEXT|> <|endoftext|>And."]
+    assert [x.tolist() for x in encoder.encode(texts[:2], 2)] == ids_of(texts[:2])
+    assert sum(b"and" in w.lower() for w in encoder.known) == 1
+    assert [x.tolist() for x in encoder.encode(texts, 2)] == ids_of(texts)
+
+
 def test_whole_corpus_in_full_windows(table):
     docs = table("documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
