@@ -78,6 +78,16 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path, arriving):
     assert dropped == 1
 
 
+def test_updates_have_no_batch_without_rows(spark, tmp_path, arriving):
+    stream = arriving(times(0), times(100, start=5), times(200, start=7))
+    levelled = stream.withColumn("threat_level", F.lit("danger"))
+    query = finish(sinks.keep_updates(jobs.threat_buckets(levelled, "10 minutes"), str(tmp_path / "out")))
+    assert [p["numInputRows"] for p in query.recentProgress] == [1, 1, 1]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") == "true"
+    # what the watermark has passed is dropped by the next batch with rows
+    assert sum(op["numRowsRemoved"] for p in query.recentProgress for op in p["stateOperators"]) == 1
+
+
 def test_sessions_are_emitted_when_the_watermark_passes(spark, tmp_path, arriving):
     stream = arriving(times(0, 5, 9), times(200, start=10))
     finish(sinks.append_files(jobs.closed_sessions(stream, "30 minutes"), str(tmp_path / "out")))
