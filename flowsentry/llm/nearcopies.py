@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from flowsentry.llm.bagminhash import signatures
 from flowsentry.llm.batches import SMALL_CHUNK_BYTES, map_chunks
-from flowsentry.llm.components import components, few_tasks, no_broadcasts
+from flowsentry.llm.components import components, few_tasks, interpreted, no_broadcasts
 from flowsentry.llm.words import encoded, mixed, shingles
 from flowsentry.session import checkpointed
 
@@ -104,16 +104,17 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, words: int, simi
     open_nodes = _unsettled(active, compared, classes, similarity)
     rare = few_tasks(checkpointed(_prefixes(bags.join(open_nodes, "key", "left_semi"), similarity)))
     done = compared.select("a", "b")
-    for count in (HUBS, None):
-        pairs = _across(rare, classes, count, similarity).join(done, ["a", "b"], "left_anti")
-        compared = few_tasks(checkpointed(_verified(pairs, bags)))
-        found = compared.filter(F.col("shared") >= similarity * F.col("joint")).select("a", "b")
-        done = done.union(compared.select("a", "b"))
-        if found.limit(1).count() == 0:
-            continue  # the classes stay as they are
-        # the classes so far and the new links between them are all that later classes depend on
-        known = classes.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        classes = few_tasks(checkpointed(components(known.union(found))))
+    with interpreted(docs.sparkSession, rare.rdd.getNumPartitions() <= 1):
+        for count in (HUBS, None):
+            pairs = _across(rare, classes, count, similarity).join(done, ["a", "b"], "left_anti")
+            compared = few_tasks(checkpointed(_verified(pairs, bags)))
+            found = compared.filter(F.col("shared") >= similarity * F.col("joint")).select("a", "b")
+            done = done.union(compared.select("a", "b"))
+            if found.limit(1).count() == 0:
+                continue  # the classes stay as they are
+            # the classes so far and the new links between them are all that later classes depend on
+            known = classes.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            classes = few_tasks(checkpointed(components(known.union(found))))
 
     named = nodes.select("key", "copy_of").join(classes.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))

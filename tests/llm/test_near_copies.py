@@ -123,3 +123,31 @@ def test_slices_hold_at_most_the_limit(spark):
     docs = spark.createDataFrame([("x" * 300,)] * 10 + [(None,), ("y" * 5000,)], "text string").coalesce(1)
     sizes = map_chunks(docs, "text", "rows long", lambda batch: {"rows": [batch.num_rows]}, 1000)
     assert [r.rows for r in sizes.collect()] == [3, 3, 3, 2, 1]
+
+
+def test_a_small_link_table_takes_few_jobs_and_a_large_one_gives_the_same(spark, monkeypatch):
+    from flowsentry.llm import components as module
+
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(350)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 3), (5, None)]
+    frame = spark.createDataFrame([(f"n{a:04}".encode() if a is not None else None, f"n{b:04}".encode() if b is not None else None)
+                                   for a, b in links], "a binary, b binary")
+    over = list(range(2000))
+    for _ in range(70):
+        for a, b in links:
+            if a is not None and b is not None:
+                over[a] = over[b] = min(over[a], over[b])
+    ends = {x for a, b in links if a is not None and b is not None and a != b for x in (a, b)}
+    truth = {(f"n{x:04}".encode(), f"n{over[x]:04}".encode()) for x in ends}
+
+    def found():
+        return [(bytes(r.node), bytes(r.component)) for r in components(frame).collect()]
+
+    spark.sparkContext.setJobGroup("small links", "")
+    small = found()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("small links")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(module, "ROWS_A_TASK", 40)
+    large = found()
+    assert set(small) == set(large) == truth and len(small) == len(large) == len(truth)
+    assert len(jobs) <= 12
