@@ -1,17 +1,16 @@
 """Language-model scores: how probable every whole text is after the training texts, in bits per byte.
 
-A text is its lower-cased (A-Z) words and an end. Every token belongs to one of 256 cells by its last two letters and its
-first; the 8 bits of the cell are coded by online logistic context mixing (`contextmix`): tables hashed from no, one and
-two cells before, which all training texts fill, and a predictor that learns within the text, weighed by gated
-weights that adapt, and refined. Within its cell a word is drawn from the training words by their numbers or, with
-the probability that the cell's words seen once suggest (Good-Turing), spelt letter by letter: again bits mixed from
-tables hashed from the cell and the one, two or three letters before, filled by all distinct training words. Words
-that are frequent in training are never spelt. Words that the text had before come first, by their number less a
-discount. So every text has a probability, and all texts together at most one.
+A text is its lower-cased (A-Z) words and an end. The most frequent words (VOCABULARY, seen twice at least), the end and
+an escape have a prefix code by their numbers in training; all other words are an escape and their letters, eight
+bits each. So a text is a string of bits that gives it back whole, and all of its bits are coded by online logistic
+context mixing (`contextmix`). Tables for the bits of a code: the exact numbers in training, and two hashed from the word
+before and from the cells (last two letters and first) of the two words before, which all training texts fill. For
+those of a letter: hashed from the one, two or three letters before, filled by all distinct training words.
+So every text has a probability, and all texts together at most one.
 
 Words are counted in slices of the input; a slice keeps its texts as numbers of its own words and asks the table of all
 counts for those once. That table grows with the corpus and is only joined. What is broadcast has a fixed size
-(4 * SLOTS and 257 * 256 log-odds, numbers of 256 cells). Adaptation restarts every SEGMENT words, so that long texts are coded side
+(5 * SLOTS log-odds, VOCABULARY words and their code). Adaptation restarts every SEGMENT words, so that long texts are coded side
 by side; contexts reach across. A text's score depends on no other text that is scored.
 
 Defined results: null and empty texts are an end alone. A null id is held out. Rows repeated under one id are each
@@ -32,17 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.llm.batches import chunks
-from flowsentry.llm.contextmix import SLOTS, bit_counts, coded, fixed_mix, log_odds, tree_counts
+from flowsentry.llm.contextmix import NODES, PLACES, SLOTS, WEIGHTS, code_of, code_slots, log_odds, online_mix
 from flowsentry.llm.words import encoded, mixed
 from flowsentry.session import checkpointed
 
 FOLDS, HELD_OUT = 7, 2
 SLICE_BYTES = 4 << 20
 SEGMENT = 512
-FREQUENT = 3
+VOCABULARY, MANY = 1 << 17, 1 << 20  # words with a code at most; numbers of words beyond are alike in choosing them
+END, ESCAPE = 0, 1
+PART = 500_000  # tokens whose bits are held at a time
 BATCH, GATHERED = 20_000, 500_000
-DISCOUNT, STRENGTH = 0.8, 1.0
-_SPACE = 32
+CODE_WEIGHTS = (0.35, 0.3, 0.35)
+_SPACE, _LETTER = 32, 1 << 30
 
 
 def cell_of(word: bytes) -> int:
@@ -96,61 +97,116 @@ def distinct_before(key: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.nd
     return every, out
 
 
+def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin to begin + size of all ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def word_contexts(words: list[bytes], tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token: a hash of the cell before, and of the two cells before."""
+    first = np.zeros(len(tokens), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    one, two = token_contexts(np.array([cell_of(w) for w in words], np.int64)[tokens], first)
+    return _short(mixed(one)), _short(two)
+
+
+def _short(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(32)).astype(np.uint32)
+
+
+def letter_bits(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of the bits of all words' letters: what the code asks, how deep, and the hashed contexts; and how many bits each word has."""
+    letters, contexts, begin = letter_contexts(words, np.zeros(len(words), np.int64))
+    letters = letters[:int(sum(len(w) + 1 for w in words))]
+    length = code.sizes[letters]
+    bits = ranges(code.begin[letters], length)
+    depth = bits - np.repeat(code.begin[letters], length)
+    return code.path[bits], depth, [np.repeat(_short(c), length) for c in contexts], np.add.reduceat(length, begin)
+
+
+class Code:
+    """A prefix code of symbols by their weights; `words` are those of the vocabulary, after the end and the escape."""
+
+    def __init__(self, weights: np.ndarray, words: list[bytes] = ()):
+        self.known = {w: i for i, w in enumerate(words, 2)}
+        self.sizes, self.begin, self.path, self.counts = code_of(weights)
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        return np.array([self.known.get(w, ESCAPE) if w else END for w in words], np.int64)
+
+
 @dataclass
 class MixModel:
-    """Log-odds of a token's bits by no, one and two cells before, tables of letters, and per cell the number of tokens
-    and of words seen once."""
+    """The codes of words and letters, and log-odds of bits: of words by themselves, after one and after two, and of letters."""
 
+    code: Code
+    spelling: Code
     alone: np.ndarray
     after_one: np.ndarray
     after_two: np.ndarray
     letters: np.ndarray
-    held: np.ndarray
-    once: np.ndarray
     total: int
     distinct: int
 
-    def spelt(self, words: list[bytes], cells: np.ndarray) -> np.ndarray:
-        """The log probability of every word's letters."""
-        out = np.zeros(len(words))
-        for at in range(0, len(words), BATCH):
-            letters, contexts, begin = letter_contexts(words[at:at + BATCH], cells[at:at + BATCH])
-            out[at:at + BATCH] = np.add.reduceat(fixed_mix(letters, contexts, self.letters), begin)
-        return out
-
-    def within(self, words: list[bytes], cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The log probability of every word in its cell."""
-        held, once = self.held[cells], self.once[cells]
-        new = (once + 0.5) / (held + 1.0)
-        with np.errstate(divide="ignore"):
-            known = np.log1p(-new) + np.log(counts / np.maximum(held, 1))
-        rare = np.flatnonzero((counts < FREQUENT) & (cells > 0))
-        known[rare] = np.logaddexp(known[rare], np.log(new[rare]) + self.spelt([words[i] for i in rare.tolist()], cells[rare]))
-        known[cells == 0] = 0.0
-        return known
-
-    def log10(self, words: list[bytes], counts: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def log10(self, words: list[bytes], tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The log10 probability of every text; tokens are numbers of words, text after text."""
-        kinds = np.array([cell_of(w) for w in words], np.int64)
-        cells, text = kinds[tokens], np.repeat(np.arange(len(sizes)), sizes)
-        # what the text had of this word and of its cell so far; a word counts DISCOUNT less, which new words share
-        words_before = before(text * len(words) + tokens)
-        cells_before, kinds_before = distinct_before(text * 256 + cells, words_before == 0)
-        spare = STRENGTH + DISCOUNT * kinds_before
-        own = np.log(np.maximum(words_before - DISCOUNT, 1e-300))
-        inside = np.where(cells == 0, 0.0, np.logaddexp(np.where(words_before > 0, own, -np.inf), np.log(spare)
-                          + self.within(words, kinds, counts)[tokens]) - np.log(cells_before + STRENGTH))
-        begin = np.cumsum(sizes) - sizes
-        first = np.zeros(len(cells), bool)
-        first[begin] = True
-        one, two = token_contexts(cells, first)
-        small = [(np.zeros(len(cells), np.int64), self.alone), (one, self.after_one)]
+        one, two = word_contexts(words, tokens, sizes)
+        symbols, begin = self.code.symbols(words), np.cumsum(sizes) - sizes
         lanes = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(sizes)), lanes)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        sums = coded(cells, small, two, self.after_two, begin[owner] + nth * SEGMENT,
-                     np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT))
-        return (np.bincount(owner, weights=sums, minlength=len(sizes)) + np.add.reduceat(inside, begin)) / np.log(10)
+        start, size = begin[owner] + nth * SEGMENT, np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
+        cuts = np.flatnonzero(np.diff(start // PART, prepend=-1)).tolist()
+        sums = np.empty(len(owner))
+        for a, b in zip(cuts, [*cuts[1:], len(owner)]):
+            part = slice(start[a], start[b - 1] + size[b - 1])
+            sums[a:b] = self._lanes(words, symbols, tokens[part], one[part], two[part], size[a:b])
+        return np.bincount(owner, weights=sums, minlength=len(sizes)) / np.log(10)
+
+    def _lanes(self, words, symbols, tokens, one, two, sizes) -> np.ndarray:
+        """The log probability of lanes of tokens that follow each other."""
+        kinds, tokens = np.unique(tokens, return_inverse=True)
+        symbols = symbols[kinds]
+        spelt = np.flatnonzero(symbols == ESCAPE)
+        length = self.code.sizes[symbols]
+        bits, letters = length.copy(), []
+        for low in range(0, len(spelt), BATCH):
+            letters.append(letter_bits([words[i] for i in kinds[spelt[low:low + BATCH]].tolist()], self.spelling))
+            bits[spelt[low:low + BATCH]] += letters[-1][3]
+        begin = np.cumsum(bits) - bits
+        # the bits of every word, what the tables say of letters, and in one number: the node of a code (more than any in
+        # letters), the node in the lane's own predictor, place and bit
+        many = int(bits.sum())
+        packed, by_table = np.empty(many, np.int64), np.empty((many, 3), np.float32)
+        at, asked = ranges(begin, length), self.code.path[ranges(self.code.begin[symbols], length)]
+        place, node = np.minimum((at - np.repeat(begin, length)) >> 1, 7), (asked >> 1).astype(np.int64)
+        packed[at] = ((node * NODES | node * 0x9E37 >> 4 & NODES - 1) * PLACES | place) * 2 | asked & 1
+        by_table[at, 0] = self.alone[node]
+        for k, (asked, depth, contexts, size) in enumerate(letters):
+            some = spelt[k * BATCH:(k + 1) * BATCH]
+            at = ranges(begin[some] + length[some], size)
+            packed[at] = ((_LETTER * NODES | (asked >> 1).astype(np.int64)) * PLACES | 8 + np.minimum(depth, 7)) * 2 | asked & 1
+            for i, context in enumerate(contexts):
+                by_table[at, i] = self.letters[i].take(code_slots(context, asked >> 1))
+        letters.clear()
+        token_bits = bits[tokens]
+        of_word = ranges(begin[tokens], token_bits).astype(np.int32)
+        of_token = np.repeat(np.arange(len(tokens), dtype=np.int32), token_bits)
+        edges = np.concatenate([[0], np.cumsum(token_bits)])
+        ends = np.cumsum(sizes)
+
+        def look(number):
+            own = of_word.take(number)
+            inputs, known = by_table.take(own, axis=0), packed.take(own)
+            asked = known // (2 * PLACES * NODES)
+            coded = np.flatnonzero(asked < _LETTER)
+            asked, token = asked.take(coded), of_token.take(number.take(coded))
+            inputs[coded, 1] = self.after_one.take(code_slots(one.take(token), asked))
+            inputs[coded, 2] = self.after_two.take(code_slots(two.take(token), asked))
+            return inputs, known // (2 * PLACES) % NODES, known // 2 % PLACES, known & 1
+
+        weights = np.repeat(np.array([CODE_WEIGHTS, WEIGHTS]), PLACES // 2, axis=0)
+        return online_mix(look, weights, edges[ends - sizes], edges[ends] - edges[ends - sizes])
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -235,46 +291,60 @@ def _summed(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def vocabulary(counts: DataFrame) -> tuple[Code, int, int]:
+    """The code, the number of training tokens and of distinct ones. Words of one number in training have a code together
+    or not at all; what is left is the escape's."""
+    found = counts.groupBy(F.least("n", F.lit(MANY)).alias("n")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")) \
+        .orderBy(F.desc("n")).collect()
+    total, distinct, least, held = sum(r.tokens for r in found), sum(r.words for r in found), MANY + 1, 0
+    for row in found:
+        held += row.words
+        if held > VOCABULARY or row.n < 2:
+            break
+        least = row.n
+    kept = counts.filter((F.least("n", F.lit(MANY)) >= least) | (F.length("word") == 0)).toArrow().sort_by([("word", "ascending")])
+    numbers = dict(zip(kept.column("word").to_pylist(), kept.column("n").to_pylist()))
+    ends = numbers.pop(b"", 0)
+    rest = total - ends - sum(numbers.values())
+    return Code(np.array([ends + 1, rest + 1, *numbers.values()], np.int64), list(numbers)), total, distinct
+
+
 def fit_mix(slices: DataFrame, counts: DataFrame) -> MixModel:
     """Fill the tables from all training texts and all their words."""
+    code, tokens_in_all, distinct = vocabulary(counts)
+    spelling = Code(1 + np.bincount(np.frombuffer(b" ".join([*code.known, b""]), np.uint8), minlength=256))
+    shared = slices.sparkSession.sparkContext.broadcast((code, spelling))
+
     def of_tokens(batches):
-        pairs, total = np.zeros(1 << 16, np.int64), np.zeros((1, SLOTS, 2), np.int64)
+        total, known = np.zeros((2, SLOTS * 2), np.int64), shared.value[0]
         for batch in batches:
             for row in batch.select(["ids", "texts", "words"]).to_pylist():
                 held, sizes, _, tokens, words = _unpacked(row)
-                cells = np.array([cell_of(w) for w in words], np.int64)[tokens]
-                first = np.zeros(len(cells), bool)
-                first[np.cumsum(sizes) - sizes] = True
-                one, two = token_contexts(cells, first)
-                taught = np.repeat(~held, sizes)
-                pairs += np.bincount((one * 256 + cells)[taught], minlength=1 << 16)
-                total += bit_counts(cells[taught], [two[taught]])
-        yield _table_rows(np.concatenate([total[0], np.stack([pairs, pairs * 0], axis=1)]))
+                contexts, symbols = word_contexts(words, tokens, sizes), known.symbols(words)
+                taught = np.flatnonzero(np.repeat(~held, sizes))
+                for low in range(0, len(taught), PART):
+                    some = taught[low:low + PART]
+                    symbol = symbols[tokens[some]]
+                    length = known.sizes[symbol]
+                    asked = known.path[ranges(known.begin[symbol], length)]
+                    node, bit = asked >> 1, (asked & 1).astype(np.uint32)
+                    for table, context in zip(total, contexts):
+                        table += np.bincount(code_slots(np.repeat(context[some], length), node) * 2 + bit, minlength=SLOTS * 2)
+        yield _table_rows(total)
 
     def of_letters(batches):
-        total, sums = np.zeros((3, SLOTS, 2), np.int64), np.zeros((256, 2), np.int64)
+        total, code = np.zeros((3, SLOTS * 2), np.int64), shared.value[1]
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            if not words:
-                continue
-            cells = np.array([cell_of(w) for w in words], np.int64)
-            sums[:, 0] += np.bincount(cells, weights=n, minlength=256).astype(np.int64)
-            sums[:, 1] += np.bincount(cells[n == 1], minlength=256)
-            kept = cells > 0
-            words = [w for w in words if w]
+            words = [w for w in batch.column("word").to_pylist() if w]
             if words:
-                letters, contexts, _ = letter_contexts(words, cells[kept])
-                total += bit_counts(letters, contexts)
-        yield _table_rows(np.concatenate([total.reshape(-1, 2), sums]))
+                asked, _, contexts, _ = letter_bits(words, code)
+                for table, context in zip(total, contexts):
+                    table += np.bincount(code_slots(context, asked >> 1) * 2 + (asked & 1).astype(np.uint32), minlength=SLOTS * 2)
+        yield _table_rows(total)
 
-    tokens = _summed(slices.mapInArrow(of_tokens, _TABLE), SLOTS + (1 << 16))
-    pairs = tokens[SLOTS:, 0].reshape(256, 256)
-    both = _summed(counts.mapInArrow(of_letters, _TABLE), 3 * SLOTS + 256)
-    letters, cells = both[:3 * SLOTS].reshape(3, SLOTS, 2), both[3 * SLOTS:]
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    return MixModel(log_odds(tree_counts(pairs.sum(axis=0, keepdims=True))), log_odds(tree_counts(pairs)),
-                    log_odds(tokens[:SLOTS]), log_odds(letters), cells[:, 0].astype(float), cells[:, 1].astype(float),
-                    int(totals["total"]), int(totals["distinct"]))
+    tokens = _summed(slices.mapInArrow(of_tokens, _TABLE), 2 * SLOTS).reshape(2, SLOTS, 2)
+    letters = _summed(counts.mapInArrow(of_letters, _TABLE), 3 * SLOTS).reshape(3, SLOTS, 2)
+    return MixModel(code, spelling, log_odds(code.counts), *log_odds(tokens), log_odds(letters), tokens_in_all, distinct)
 
 
 def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -331,7 +401,7 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 n[place] = own
             begin = np.cumsum(sizes) - sizes
             base = np.log10((n + 1) / (mix.total + mix.distinct + 1))
-            made = mix.log10(words, n, tokens, sizes)
+            made = mix.log10(words, tokens, sizes)
             with np.errstate(divide="ignore", invalid="ignore"):
                 rate = -made * np.log2(10) / lengths
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([

@@ -138,3 +138,50 @@ def test_no_rows_and_no_training_rows(spark):
     row = lm_scores(spark.createDataFrame([(None, "two words")], "doc_id long, text string")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score < 0
     assert SLOTS == 1 << contextmix.SLOT_BITS
+
+
+def test_codes_are_whole_and_shortest():
+    rng = np.random.default_rng(7)
+    weights = rng.integers(1, 900, 60)
+    sizes, begin, path, counts = contextmix.code_of(weights)
+    paths = [tuple(path[b:b + n].tolist()) for b, n in zip(begin, sizes)]
+    assert sum(2.0 ** -n for n in sizes.tolist()) == 1 and len(set(paths)) == 60 and len(counts) == 59
+    assert all(p[0] >> 1 == 58 for p in paths) and counts[58].sum() == weights.sum()
+    for node in range(59):
+        assert counts[node].tolist() == [sum(w for w, p in zip(weights.tolist(), paths) if node * 2 + k in p) for k in (0, 1)]
+    entropy = -(weights / weights.sum() * np.log2(weights / weights.sum())).sum()
+    assert entropy <= (weights * sizes).sum() / weights.sum() < entropy + 0.1
+
+
+def test_the_whole_word_follows_its_context(spark):
+    """Two words of one cell, equally frequent: the word before tells which of them comes, and no words are alike in score."""
+    assert cell_of(b"cabat") == cell_of(b"cobat") and cell_of(b"reddish") != cell_of(b"blue")
+    taught = [(i, " ".join(["reddish cabat"] * 6 if i % 2 else ["blue cobat"] * 6)) for i in range(400)]
+    even = [r for r in taught if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    count = min(sum(r[0] % 2 for r in even), sum(1 - r[0] % 2 for r in even))
+    even = [r for k in (0, 1) for r in [x for x in even if x[0] % 2 == k][:count]]
+    out = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    asked = list(zip(out, ["reddish cabat", "reddish cobat", "blue cobat", "blue cabat"]))
+    made = {r.doc_id: r for r in lm_scores(spark.createDataFrame(even + asked, "doc_id long, text string")).collect()}
+    assert made[out[0]].base_score == made[out[1]].base_score
+    assert made[out[0]].score > made[out[1]].score + 0.3 and made[out[2]].score > made[out[3]].score + 0.3
+
+
+def test_all_next_words_share_all_probability(spark):
+    from flowsentry.llm.lmscore import ESCAPE, fit_mix, token_slices
+
+    docs = spark.createDataFrame(texts(5, 60, WORDS), "doc_id long, text string")
+    words = Counter(w for _, _, d in [(i, 0, t.lower().encode().split()) for i, t in texts(5, 60, WORDS) if zlib.crc32(str(i).encode()) % 7 != 2] for w in d)
+    counts = spark.createDataFrame([*words.items(), (b"", 50)], "word binary, n long")
+    model = fit_mix(token_slices(docs, "doc_id", "text"), counts)
+    assert 0 < len(model.code.known) < len(words)
+
+    def chance(*text):
+        own = list(dict.fromkeys(text))
+        return model.log10(own, np.array([own.index(w) for w in text]), np.array([len(text)]))[0]
+
+    past = [b"the", b"word", b"of"]
+    spelt = [b"qqq"]
+    some = [10 ** (chance(*past, w) - chance(*past)) for w in [b"", *model.code.known]]
+    assert 0.5 < sum(some) < 1 and sum(some) + 10 ** (chance(*past, *spelt) - chance(*past)) < 1
+    assert model.code.symbols([b"qqq", b"the", b""]).tolist() == [ESCAPE, model.code.known[b"the"], 0]
