@@ -152,7 +152,11 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def _unsettled(active: DataFrame, compared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Nodes of buckets that may hold a link the hub doesn't account for."""
+    """Nodes of buckets that may hold a link the hub doesn't account for.
+
+    Made in two steps: a table that is read twice within one query is planned twice, and so are the tables it is made of.
+    The driver planned some fifty shuffles in one query, over and over as they ended.
+    """
     met = active.filter("key != hub").join(compared.select(
         F.col("a").alias("hub"), F.col("b").alias("key"), (F.col("shared") / F.col("joint")).alias("likeness")),
         ["hub", "key"])
@@ -160,11 +164,11 @@ def _unsettled(active: DataFrame, compared: DataFrame, classes: DataFrame, simil
     # d(a, b) >= d(hub, b) - d(hub, a): a near the hub has a link outside only if its own distance reaches out there
     kept = met.join(outside.filter("top is not null"), "bucket") \
         .filter((F.col("likeness") < similarity) | (F.col("likeness") <= F.col("top") + (1 - similarity) + 1e-9))
-    named = kept.join(classes.withColumnRenamed("node", "key"), "key", "left") \
-        .withColumn("component", F.coalesce("component", "key"))
+    named = checkpointed(kept.select("bucket", "key").join(classes.withColumnRenamed("node", "key"), "key", "left")
+                         .withColumn("component", F.coalesce("component", "key")))
     mixed_buckets = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .filter("x != y").select("bucket")
-    return named.join(mixed_buckets, "bucket", "left_semi").select("key").distinct()
+    return checkpointed(named.join(mixed_buckets, "bucket", "left_semi").select("key").distinct())
 
 
 def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
@@ -190,7 +194,7 @@ def _across(rare: DataFrame, classes: DataFrame, hubs: int | None, similarity: f
         .withColumn("component", F.coalesce("component", "key"))
     open_items = named.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .filter("x != y").select("item")
-    named = named.join(open_items, "item", "left_semi")
+    named = few_tasks(checkpointed(named.join(open_items, "item", "left_semi")))  # read twice
     centre = named
     if hubs:
         # The few nodes of each item with the fewest items of their own, a share of them at a time. They stand in the

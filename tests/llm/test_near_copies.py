@@ -5,7 +5,7 @@ import pytest
 
 from flowsentry.llm.bagminhash import signatures
 from flowsentry.llm.components import components
-from flowsentry.llm.nearcopies import near_copies
+from flowsentry.llm.nearcopies import _across, _prefixes, _unsettled, near_copies
 from flowsentry.llm.words import FOLD, encoded
 
 from .conftest import ODD
@@ -151,3 +151,16 @@ def test_a_small_link_table_takes_few_jobs_and_a_large_one_gives_the_same(spark,
     large = found()
     assert set(small) == set(large) == truth and len(small) == len(large) == len(truth)
     assert len(jobs) <= 12
+
+
+def test_steps_that_read_a_table_twice_are_planned_once(spark):
+    active = spark.sql("select * from values (x'01', 1L, x'01'), (x'02', 1L, x'01'), (x'03', 1L, x'01') t(key, bucket, hub)")
+    compared = spark.sql("select * from values (x'01', x'02', 8, 10), (x'01', x'03', 7, 10) t(a, b, shared, joint)")
+    classes = spark.sql("select * from values (x'01', x'01'), (x'02', x'01') t(node, component)")
+    bags = spark.sql("select key, array(1L, 2L, 3L, 4L, 5L) as items from values (x'01'), (x'02'), (x'03') t(key)")
+    rare = _prefixes(bags.join(_unsettled(active, compared, classes, 0.8), "key", "left_semi"), 0.8)
+    pairs = _across(rare, classes, 8, 0.8)
+    for made in (rare, pairs):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+    assert {bytes(r.key) for r in rare.collect()} == {b"\x02", b"\x03"}
+    assert [(bytes(r.a), bytes(r.b)) for r in pairs.collect()] == [(b"\x02", b"\x03")]
