@@ -274,6 +274,21 @@ def test_split_shares_every_class(make):
     assert {r["count"] for r in folds if r.label == "rare"} == {2}
 
 
+
+def test_a_large_split_moves_no_rows_and_equals_the_numbered_one(spark, monkeypatch):
+    rows = [(None if i % 3 == 2 else "AB"[i % 3], None if i == 7 else i % 50, i, f"x{i}") for i in range(700)] + [("C", 1, 1, "y")]
+    df = spark.createDataFrame(rows, "label string, a long, b long, other string").repartition(4)
+    want = sorted(map(str, PF.stratified_split(df, "label", ["a", "b"]).collect()))
+    monkeypatch.setattr(PF, "SAMPLED", 200)
+    made = PF.stratified_split(df, "label", ["a", "b"], whole=100)
+    assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, made.collect())) == want
+    # rows that share the key at the cut can only be told apart by numbers
+    assert PF._last_keys(df, "label", ["a"], 0.8, {None: 233, "A": 234, "B": 233, "C": 1}) is None
+    tied = PF.stratified_split(df, "label", ["a"], whole=100).groupBy("label").agg(F.count_if(F.col("split") == "train").alias("n"))
+    assert {r["label"]: r["n"] for r in tied.collect()} == {None: 186, "A": 187, "B": 186, "C": 0}
+
+
 def test_align_adds_missing_columns_as_zero(make):
     got = FL.align_schema(make([(1, 2)], "b int, a int"), ["a", "missing", "b"]).first()
     assert tuple(got) == (2, 0, 1)
