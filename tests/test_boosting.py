@@ -81,3 +81,17 @@ def test_rounds_end_when_they_stop_helping(spark):
     assert len(trees.feature) < 15
     empty = fit_boosting(rows.limit(0), 2, 2, Boosting(rounds=2))
     assert empty.scores(np.zeros((1, 2))).tolist() == [[0.0, 0.0]] and isinstance(empty, Trees)
+
+
+def test_many_tasks_grow_the_same_trees(spark, monkeypatch):
+    from flowsentry.ml import boosting as MB
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 3))
+    rows = spark.createDataFrame([(r.tolist(), float((r[0] > 0) + (r[1] > 0.5))) for r in x], "features array<double>, target double")
+    few = fit_boosting(rows, 3, 3, Boosting(rounds=2, depth=3, patience=0, tasks=2))
+    monkeypatch.setattr(MB, "ROWS", 30)  # 20 tasks, more than meet in one place
+    many = fit_boosting(rows, 3, 3, Boosting(rounds=2, depth=3, patience=0, tasks=2))
+    assert all((a == c).all() for a, c in zip(few.feature, many.feature)) and np.allclose(few.value, many.value)
+    matrix = rng.normal(size=(7, 3))
+    assert (MB._unpacked(MB._packed(matrix).slice(2, 4), np.float64).reshape(4, 3) == matrix[2:6]).all()
