@@ -326,3 +326,84 @@ def test_grid_reads_a_fold_once_with_the_same_results(split, monkeypatch):
     walked = MT.grid_search(train, grid, folds=2, key=D.FLOW_ROW_KEY, fit_rows=300)[0].collect()
     monkeypatch.setattr(MT, "walk_of", lambda spark, model: None)
     assert walked == MT.grid_search(train, grid, folds=2, key=D.FLOW_ROW_KEY, fit_rows=300)[0].collect()
+
+
+def flow_rows(spark, rows):
+    """Feature rows with a key and two classes."""
+    return spark.range(rows).select("id", *[((F.col("id") * (i + 3)) % 101).cast("double").alias(c) for i, c in enumerate(FLOW_FEATURES)],
+                                    F.when(F.col("id") % 5 == 0, "DoS").otherwise("Normal").alias(FLOW_LABEL))
+
+
+def test_detectors_are_fitted_on_all_training_rows(spark, monkeypatch):
+    from flowsentry.plans import detection
+
+    fitted = {}
+    monkeypatch.setattr(detection, "fit_detector", lambda df, detector, settings: fitted.update({detector: df.count()}))
+    split = flow_rows(spark, 7_000).withColumn("split", F.when(F.col("id") < 6_500, "train").otherwise("test"))
+    train_detectors(split)
+    assert fitted == dict.fromkeys(DETECTORS, 6_500)
+
+
+def test_cross_validation_fits_on_all_rows_of_the_other_folds(spark, monkeypatch):
+    from flowsentry.ml import tuning as MT
+
+    fitted, fit_ = [], MT.fit_detector
+    monkeypatch.setattr(MT, "fit_detector", lambda df, detector, settings, *a: fitted.append(df.count()) or fit_(df, detector, TINY, *a))
+    MT.cross_validated_f1(flow_rows(spark, 12_000).withColumn("fold", (F.col("id") % 2).cast("int")), 2, Settings(), key=["id"])
+    assert fitted == [6_000, 6_000]
+
+
+def test_the_grid_fits_on_all_rows_of_the_other_folds(spark, monkeypatch):
+    from flowsentry.ml import tuning as MT
+    from flowsentry.plans.registry import QUERIES
+
+    fitted, fit_ = [], MT.RandomForestClassifier.fit
+    monkeypatch.setattr(MT, "GRID", {"numTrees": [2, 3]})
+    monkeypatch.setattr(MT.RandomForestClassifier, "fit", lambda self, df, combo: fitted.append(df.count()) or fit_(self, df, combo))
+    QUERIES["rf_grid"](spark, FOLDER).collect()
+    train = training_frame(D.flows(table(spark, FOLDER, "lineitem")), D.FLOW_ROW_KEY).filter("split = 'train'").count()
+    assert len(fitted) == 6 and sum(fitted) == 4 * train and min(fitted) > 2_000
+
+
+def test_large_forests_are_judged_apart_with_the_same_results(split, monkeypatch):
+    from flowsentry.ml import tuning as MT
+
+    train = split.filter("split = 'train'").select(*D.FLOW_ROW_KEY, *FLOW_FEATURES, FLOW_LABEL)
+    grid, held = {"numTrees": [2, 3]}, []
+    found = MT.grid_search(train, grid, folds=2, key=D.FLOW_ROW_KEY)[0].collect()
+    monkeypatch.setattr(MT, "SIDE_BY_SIDE", 0)
+    monkeypatch.setattr(MT, "NODES", 50)
+    metrics_ = MT._metrics
+    monkeypatch.setattr(MT, "_metrics", lambda rows, forests, judge: held.append(len(forests)) or metrics_(rows, forests, judge))
+    assert found == MT.grid_search(train, grid, folds=2, key=D.FLOW_ROW_KEY)[0].collect()
+    assert held == [1] * 4
+
+
+def test_kernel_machines_are_as_good_as_those_on_stored_features(spark):
+    import numpy as np
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import vector_to_array
+
+    from flowsentry.ml.fourier import RandomFourierFeatures
+    from flowsentry.ml.machines import fit_machines, machine
+
+    random = np.random.default_rng(5)
+    x = random.normal(size=(300, 3))
+    y = (x[:, 0] * x[:, 1] + 0.3 * random.normal(size=300) > 0).astype(float)
+    rows = VectorAssembler(inputCols=list("abc"), outputCol="v").transform(
+        spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, y double"))
+    lifted = RandomFourierFeatures("v", "k", 16).drawn(3)
+    weights, heights = fit_machines(rows, "y", "v", lifted, 2, 60)
+    kernels = lifted.transform(rows).persist()
+    data = [(np.array(r.k), r.y) for r in kernels.select(vector_to_array("k").alias("k"), "y").collect()]
+    k, side = np.stack([d[0] for d in data]), np.array([d[1] for d in data])
+    for i in range(2):
+        own = kernels.withColumn("own", (F.col("y") == i).cast("double"))
+        theirs = LinearSVC(labelCol="own", featuresCol="k", maxIter=60).fit(own)
+        loss = [np.maximum(0, 1 - np.where(side == i, 1, -1) * (k @ w + h)).mean()
+                for w, h in ((weights[:, i], heights[i]), (theirs.coefficients.toArray(), theirs.intercept))]
+        assert loss[0] < 1.05 * loss[1]
+        says = machine(spark, weights[:, i], heights[i], "k", "says", "m").transform(own).select("says", vector_to_array("m").alias("m")).collect()
+        assert [r.m[1] for r in says] == pytest.approx((k @ weights[:, i] + heights[i]).tolist())
+        assert [r.says for r in says] == [float(r.m[1] > 0) for r in says]
+    kernels.unpersist()
